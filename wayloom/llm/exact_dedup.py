@@ -20,7 +20,12 @@ from pyspark.sql import functions as F
 from wayloom.llm.common import scratch, whole_text, written
 
 SPACES = " \t\n\x0b\x0c\r"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State in RocksDB, uploaded as changes, without reserving disk ahead: a store is small, and there is one a partition.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Ids and files of hits up to this many rows (about 16 bytes each) are broadcast; beyond it they are shuffled.
 MOST_BROADCAST = 1_000_000
 
@@ -48,8 +53,9 @@ def _stream_state(ledger: DataFrame, files_a_batch: int) -> DataFrame:
     source = spark.readStream.schema(ledger.schema).option("maxFilesPerTrigger", files_a_batch).parquet(path.pop())
     best = F.struct("n_chars", (-F.col("doc_id")).alias("order"), "doc_id", "locator")
     state = source.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max(best).alias("best"))
-    keep = {k: spark.conf.get(k, None) for k in ("spark.sql.streaming.stateStore.providerClass",)}
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    keep = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         stream = (
             state.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{place}/stream")
