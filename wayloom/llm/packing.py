@@ -11,6 +11,8 @@ piece; other columns are ignored. The order of the stream is that of the partiti
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 
 import numpy as np
@@ -24,24 +26,43 @@ from wayloom.llm.token_count import tokenizer
 
 WINDOW = 4096
 _IDS: dict[str, dict[str, bytes]] = {}
-_MOST_CACHED = 400_000
+_MOST_CACHED = 1_000_000
+PIECE = re.compile(r"\w+|[^\w \t\n\r\x0b\x0c\x85\xa0]+")
 
 
-def word_ids(path: str, texts: list[str]) -> list[bytes]:
-    """The ids of each text, as little-endian unsigned 32-bit, for a tokenizer that drops white space.
+def pieces(text: str) -> list[str]:
+    """Parts of a text that may be encoded one by one, for a tokenizer whose pre-tokens hold no white space.
 
-    Its pre-tokens hold no white space, so the ids of a text are those of its parts between spaces and newlines, one
-    after the other; each part is encoded once and kept.
+    Parts between spaces and newlines always are. Where all characters are of Latin-1 (so that lower-casing and
+    normalising look at one character at a time), words and runs of other signs are as well, unless an apostrophe
+    (contractions), an underscore or the marks of special tokens might join the two.
     """
+    if text.isascii() or _latin(text):
+        if "'" not in text and "_" not in text and "<|" not in text:
+            return PIECE.findall(text.lower())
+    return text.replace("\n", " ").split(" ")
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def word_ids(path: str, texts: list[str]) -> list[bytes]:
+    """The ids of each text, as little-endian unsigned 32-bit; each distinct part is encoded once and kept."""
     tok, kept = tokenizer(path), _IDS.setdefault(path, {})
-    parts = [t.replace("\n", " ").split(" ") for t in texts]
+    parts = [pieces(t) for t in texts]
     if len(kept) > _MOST_CACHED:
         kept.clear()
     new = list({w for p in parts for w in p if w not in kept})
-    for i in range(0, len(new), 4096):
-        some = new[i : i + 4096]
+    for i in range(0, len(new), 2048):
+        some = new[i : i + 2048]
         for w, e in zip(some, getattr(tok, "encode_batch_fast", tok.encode_batch)(some, add_special_tokens=False), strict=True):
-            kept[w] = np.array(e.ids, "<u4").tobytes()
+            ids = e.ids
+            kept[w] = struct.pack(f"<{len(ids)}I", *ids)
     return [b"".join(map(kept.__getitem__, p)) for p in parts]
 
 
