@@ -5,13 +5,13 @@ alone, so equal strings have equal triggers, and the text between neighbouring t
 phrase. Texts are replaced by their parses, and equality of ``LENGTH``-byte strings is decided on the parse:
 
 1. *Dictionary.* A trigger is kept if its first ``KEY`` bytes occur at more than one trigger of the corpus. In text that
-   is said once, none is; everything after works on the repetitive part alone.
-2. *Parse suffixes.* All strings of ``LENGTH`` bytes whose first trigger is one and the same trigger lie in that
-   trigger's hull: the bytes from the last trigger on, as far as kept triggers go. Equal hulls are one entry with a
-   count. A hull that occurs twice settles all of its strings at once.
-3. *Ends of repeats.* Of hulls that occur once but share their trigger's key with another hull, every string is hashed,
-   together with those of one copy of each such other hull; a string that occurs twice repeats.
-4. Strings without a trigger in their first ``REACH`` bytes are hashed outright; they are rare.
+   is said once, none is; everything after works on the repetitive part alone. Where triggers are farther apart than
+   ``REACH``, ``FINE`` times as many positions count as triggers.
+2. *Parse suffixes.* All strings of ``LENGTH`` bytes whose first trigger is one and the same, at like distances (in steps
+   of ``STEP``), lie in one hull. Equal hulls are one entry with a count; a hull that occurs twice settles its strings.
+3. *Ends of repeats.* Of hulls that occur once but share the core that all of their strings hold with another hull, every
+   string is hashed, with those of one copy of each such other hull; a string that occurs twice repeats.
+4. Strings without a trigger of either kind in their first ``REACH`` bytes are hashed outright; they are rare.
 
 The order in which a suffix array would hold the suffixes isn't built: all that is asked of it is which suffixes agree
 in ``LENGTH`` bytes, and grouping by 64-bit hashes gives that with sums before each shuffle, where a range sort would
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from wayloom.llm import hashing
 from wayloom.llm.common import slices, small_batches, whole_text, written
 
-LENGTH, KEY, REACH, K, EVERY = 400, 80, 320, 16, 64
+LENGTH, KEY, REACH, K, EVERY, FINE, STEP = 400, 80, 320, 16, 64, 8, 32
 #: Lists of up to this many rows are broadcast; longer ones are shuffled.
 MOST_BROADCAST = 1_000_000
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
@@ -94,17 +94,48 @@ def bare(at: np.ndarray, n: int, length: int, reach: int) -> np.ndarray:
     return _ranges(last + 1, np.minimum(to, n - length))
 
 
-def hulls(at: np.ndarray, on: np.ndarray, n: int, length: int, key: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Kept triggers that lead strings: their indices, and the first and last start of those strings."""
-    if not len(at):
-        return (np.zeros(0, np.int64),) * 3
-    wide = np.minimum(np.diff(np.concatenate([[-1], at])) - 1, reach)
-    # where the first trigger that isn't kept ends; no repeated string holds it
-    off = np.where(on, n + 1 - key, at)
-    end = np.minimum.accumulate(off[::-1])[::-1] + key - 1
-    narrow = np.maximum(0, at + length - np.minimum(end, n))
-    j = np.flatnonzero(on & (narrow <= wide))
-    return j, at[j] - wide[j], at[j] - narrow[j]
+def parse(own: Text, length: int, key: int, reach: int, every: int) -> tuple[np.ndarray, ...]:
+    """A text's triggers: position, key, nearest and farthest start before it that it leads, next trigger; and bare starts.
+
+    Where triggers are too far apart, ``FINE`` times as many positions count; those have no next trigger (-1).
+    """
+    n = len(own.data)
+    at, keys = own.triggers(key, every)
+    near = np.maximum(0, at + length - n)
+    far = np.minimum(np.diff(np.concatenate([[-1], at])) - 1, reach)
+    after = np.concatenate([at[1:], [n - key + 1]])[: len(at)]
+    left = bare(at, n, length, reach)
+    if len(left) and every > FINE:
+        fine, fine_keys = own.triggers(key, every // FINE)
+        to = np.searchsorted(fine, left)
+        lead = fine[np.minimum(to, len(fine) - 1)] if len(fine) else np.zeros(len(left), np.int64)
+        led = (to < len(fine)) & (lead - left <= reach)
+        p, first = np.unique(lead[led], return_index=True)
+        last = np.concatenate([first[1:], [led.sum()]])[: len(first)] - 1
+        s = left[led]
+        at, near, far = np.concatenate([at, p]), np.concatenate([near, p - s[last]]), np.concatenate([far, p - s[first]])
+        keys = np.concatenate([keys, hashing.mix(fine_keys[np.searchsorted(fine, p)])])
+        after = np.concatenate([after, np.full(len(p), -1)])
+        left = left[~led]
+    return at, keys, near, far, after, left
+
+
+def leads(j: np.ndarray, at: np.ndarray, near: np.ndarray, far: np.ndarray, after: np.ndarray, length: int, key: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the kept triggers of a text (``j`` rising): position, nearest and farthest start, in steps of distance.
+
+    No repeated string holds the key of a trigger that isn't kept, so strings end before the first such key does.
+    """
+    off = np.concatenate([j[1:] != j[:-1] + 1, [True]])[: len(j)] | (after < 0)
+    off |= np.concatenate([after[1:] < 0, [True]])[: len(j)]
+    stops = np.flatnonzero(off)
+    end = after[stops[np.searchsorted(stops, np.arange(len(j)))]] + key - 1
+    near = np.where(after < 0, near, np.maximum(near, at + length - end))
+    on = near <= far
+    at, near, far = at[on], near[on], far[on]
+    count = far // step - near // step + 1
+    who = np.repeat(np.arange(len(at)), count)
+    q = _ranges(near // step, far // step)
+    return at[who], np.maximum(near[who], q * step), np.minimum(far[who], q * step + step - 1)
 
 
 def covered(starts: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
@@ -122,91 +153,115 @@ def _some(count: int, df: DataFrame) -> DataFrame:
     return F.broadcast(df) if count <= MOST_BROADCAST else df
 
 
-def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, key: int = KEY, reach: int = REACH, every: int = EVERY) -> DataFrame:
+def _lists(xs: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    flat = np.concatenate(xs) if xs else np.zeros(0)
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype(np.int32), pa.array(flat).cast(kind))
+
+
+def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, key: int = KEY, reach: int = REACH, every: int = EVERY, step: int = STEP) -> DataFrame:
     """One row per input row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``."""
     if not K <= key <= length - reach:
         raise ValueError("a string with a trigger within reach must hold that trigger's key")
     small_batches(docs.sparkSession)
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), whole_text(text).alias("text"), F.sha2(whole_text(text), 256).alias("sha"))
     source = source.withColumn("digest", F.unhex("sha"))
-
-    def parse(batches):
+    base = written(source.select("doc_id", "digest", F.octet_length("text").cast("bigint").alias("n_bytes")), "ledger")
+    classes = written(base.groupBy("digest").agg(F.min("doc_id").alias("one"), F.count(F.lit(1)).alias("copies"), F.first("n_bytes").alias("n_bytes")), "classes")
+    spare = base.select("doc_id", "digest").join(classes.where("copies > 1").select("digest", "one"), "digest").where("not (doc_id <=> one)")
+    spare = written(spare.select(F.col("doc_id").alias("i"), F.col("digest").alias("d")).distinct(), "spare")
+    texts = source.select("doc_id", "digest", "text")
+    same = lambda i, d: F.col("digest").eqNullSafe(F.col(d)) & F.col("doc_id").eqNullSafe(F.col(i))
+    single_texts = texts.join(_some(spare.count(), spare), same("i", "d"), "left_anti")
+
+    def tell_parse(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 data, offsets = hashing.utf8(part.column(2))
-                keys, where, what = [], [], []
+                out = []
                 for a, b in zip(offsets[:-1], offsets[1:], strict=True):
                     own = Text(data[a:b])
-                    at, k = own.triggers(key, every)
-                    s = bare(at, b - a, length, reach)
-                    keys.append(k.view(np.int64))
-                    where.append(s.astype(np.int32))
-                    what.append(own.hashes(s, s + length).view(np.int64))
-                lists = [pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype(np.int32), pa.array(np.concatenate(xs))) for xs in (keys, where, what)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(offsets).astype(np.int64)), *lists], ["doc_id", "digest", "n_bytes", "keys", "bare_at", "bare_hash"])
-
-    parsed = source.select("doc_id", "digest", "text").mapInArrow(parse, "doc_id bigint, digest binary, n_bytes bigint, keys array<bigint>, bare_at array<int>, bare_hash array<bigint>")
-    first = [F.first(c).alias(c) for c in ("n_bytes", "keys", "bare_at", "bare_hash")]
-    classes = parsed.groupBy("digest").agg(F.min("doc_id").alias("one"), F.count(F.lit(1)).alias("copies"), *first)
-    classes = written(classes.withColumn("c", F.monotonically_increasing_id()), "parse")
-
-    # 1. the dictionary: keys that occur twice; the kept triggers of each class
-    dealt = classes.select("c", F.posexplode("keys").alias("j", "key"))
-    twice = written(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "dictionary")
-    kept = dealt.join(_some(twice.count(), twice), "key").groupBy("c").agg(F.collect_list("j").alias("kept"))
-    kept = written(kept.join(classes.select("c", "digest", "one"), "c"), "kept")
-    named = kept.select("c", "kept", "digest", F.col("one"))
-    wanted = _some(kept.count(), named)
-    part = source.select("doc_id", "digest", "text").join(wanted, source["digest"].eqNullSafe(named["digest"]) & F.col("doc_id").eqNullSafe(F.col("one"))).select("c", "kept", "text")
-    part = written(part, "repetitive")
-    if part.groupBy("c").count().where("count > 1").head(1):
-        part = written(part.dropDuplicates(["c"]), "repetitive")
-
-    def own_hulls(data, kept):
-        own = Text(data)
-        at, keys = own.triggers(key, every)
-        on = np.zeros(len(at), bool)
-        on[np.asarray(kept, np.int64)] = True
-        return own, keys, *hulls(at, on, len(data), length, key, reach)
+                    *found, left = parse(own, length, key, reach, every)
+                    out.append((*found, left, own.hashes(left, left + length)))
+                at, keys, near, far, after, left, hashes = zip(*out, strict=True)
+                lists = [_lists(at, pa.int32()), _lists([k.view(np.int64) for k in keys], pa.int64()), _lists(near, pa.int16()), _lists(far, pa.int16()), _lists(after, pa.int32()), _lists(left, pa.int32()), _lists([h.view(np.int64) for h in hashes], pa.int64())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], ["one", "digest", "at", "key", "near", "far", "after", "bare_at", "bare_hash"])
+
+    shape = "one bigint, digest binary, at array<int>, key array<bigint>, near array<smallint>, far array<smallint>, after array<int>, bare_at array<int>, bare_hash array<bigint>"
+    parsed = written(single_texts.mapInArrow(tell_parse, shape).withColumn("c", F.monotonically_increasing_id()), "parse")
+    if parsed.groupBy("digest").count().where("count > 1").head(1):  # repeated rows
+        parsed = written(parsed.dropDuplicates(["digest"]), "parse")
+    named = parsed.select("c", "one", "digest")
+
+    # 1. the dictionary: keys that occur twice; the kept triggers of each text
+    twice = written(parsed.select(F.explode("key").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "dictionary")
+    dealt = parsed.select("c", F.posexplode(F.arrays_zip("key", "at", "near", "far", "after")).alias("j", "x")).select("c", "x.key", F.struct("j", "x.at", "x.near", "x.far", "x.after").alias("t"))
+    kept = dealt.join(_some(twice.count(), twice), "key").groupBy("c").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+
+    def tell_leads(batches):
+        for batch in batches:
+            out = []
+            for ts in batch.column(1):
+                t = ts.values
+                out.append(leads(*(t.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)), length, key, step))
+            lists = [_lists([o[k] for o in out], pa.int32()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["c", "at", "near", "far"])
+
+    led = written(kept.mapInArrow(tell_leads, "c bigint, at array<int>, near array<int>, far array<int>").where("size(at) > 0").join(named, "c"), "leads")
+    n_led = led.count()
+    wanted = led.select(F.col("one").alias("i"), F.col("digest").alias("d"))
+    part = texts.join(_some(n_led, wanted), same("i", "d"), "left_semi").select("digest", "text").hint("merge").join(led, "digest").select("c", "text", "at", "near", "far")
+    part = written(part.dropDuplicates(["c"]) if spare.head(1) and part.groupBy("c").count().where("count > 1").head(1) else part, "repetitive")
+
+    def cores(near):
+        return np.maximum(key, length - step * (near // step + 1) + 1)
 
     def tell_hulls(batches):
         for batch in batches:
             for some in slices(batch, "text"):
-                data, offsets = hashing.utf8(some.column(2))
+                data, offsets = hashing.utf8(some.column(1))
                 out = []
-                for i, kept_here in enumerate(some.column(1).to_pylist()):
-                    own, keys, j, lo, hi = own_hulls(data[offsets[i] : offsets[i + 1]], kept_here)
-                    out.append((np.full(len(j), some.column(0)[i].as_py()), j, lo, hi, own.hashes(lo, hi + length).view(np.int64), keys[j].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], ["c", "j", "lo", "hi", "hull", "key"])
+                for i in range(some.num_rows):
+                    own = Text(data[offsets[i] : offsets[i + 1]])
+                    at, near, far = (some.column(k)[i].values.to_numpy().astype(np.int64) for k in (2, 3, 4))
+                    hull, core = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+                    o = np.argsort(at - far, kind="stable")
+                    hull[o] = own.hashes((at - far)[o], (at - near + length)[o])
+                    o = np.argsort(at, kind="stable")
+                    core[o] = own.hashes(at[o], (at + cores(near))[o])
+                    core = hashing.mix(core + (near // step).astype(np.uint64))
+                    out.append((np.full(len(at), some.column(0)[i].as_py()), np.arange(len(at)), at - far, at - near, hull.view(np.int64), core.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], ["c", "j", "lo", "hi", "hull", "core"])
 
     # 2. parse suffixes: each distinct hull with its count
-    led = written(part.mapInArrow(tell_hulls, "c bigint, j bigint, lo bigint, hi bigint, hull bigint, key bigint"), "hulls")
-    distinct = written(led.groupBy("hull").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("c", "j")).alias("at"), F.min("key").alias("key")), "suffixes")
-    settled = led.join(distinct.where("n > 1").select("hull"), "hull").select("c", "lo", "hi")
+    hulls = written(part.mapInArrow(tell_hulls, "c bigint, j bigint, lo bigint, hi bigint, hull bigint, core bigint"), "hulls")
+    distinct = written(hulls.groupBy("hull").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("c", "j")).alias("at"), F.min("core").alias("core")), "suffixes")
+    settled = hulls.join(distinct.where("n > 1").select("hull"), "hull").select("c", "lo", "hi")
 
-    # 3. ends of repeats: hulls that occur once beside others of the same key
-    mixed = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("hulls"), F.min("n").alias("least")).where("hulls > 1 and least = 1").select("key")
-    open_ = distinct.join(mixed, "key").select(F.col("at.c").alias("c"), F.struct(F.col("at.j").alias("j"), (F.col("n") == 1).alias("alone")).alias("h"))
+    # 3. ends of repeats: hulls that occur once beside others of the same core
+    mixed = distinct.groupBy("core").agg(F.count(F.lit(1)).alias("hulls"), F.min("n").alias("least")).where("hulls > 1 and least = 1").select("core")
+    open_ = distinct.join(mixed, "core").select(F.col("at.c").alias("c"), F.struct(F.col("at.j").alias("j"), (F.col("n") == 1).alias("alone")).alias("h"))
     open_ = written(open_.groupBy("c").agg(F.collect_list("h").alias("hs")), "open")
 
     def tell_strings(batches):
         for batch in batches:
             for some in slices(batch, "text"):
-                data, offsets = hashing.utf8(some.column(2))
+                data, offsets = hashing.utf8(some.column(1))
                 out = []
-                for i, (c, kept_here, hs) in enumerate(zip(*(some.column(k).to_pylist() for k in (0, 1, 3)), strict=True)):
-                    own, _, j, lo, hi = own_hulls(data[offsets[i] : offsets[i + 1]], kept_here)
-                    hs = sorted((h["j"], h["alone"]) for h in hs)
-                    k = np.searchsorted(j, [h[0] for h in hs])
-                    s = _ranges(lo[k], hi[k])
-                    alone = np.repeat([h[1] for h in hs], hi[k] - lo[k] + 1)
-                    out.append((np.full(len(s), c), s, alone, own.hashes(s, s + length).view(np.int64)))
+                for i in range(some.num_rows):
+                    own = Text(data[offsets[i] : offsets[i + 1]])
+                    at, near, far = (some.column(k)[i].values.to_numpy().astype(np.int64) for k in (2, 3, 4))
+                    hs = some.column(5)[i].values
+                    j, alone = hs.field(0).to_numpy(), hs.field(1).to_numpy(zero_copy_only=False)
+                    s = _ranges(at[j] - far[j], at[j] - near[j])
+                    alone = np.repeat(alone, far[j] - near[j] + 1)
+                    o = np.argsort(s, kind="stable")
+                    out.append((np.full(len(s), some.column(0)[i].as_py()), s[o], alone[o], own.hashes(s[o], s[o] + length).view(np.int64)))
                 c, s, alone, h = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(s.astype(np.int32)), pa.array(alone.astype(bool)), pa.array(h)], ["c", "s", "alone", "string"])
 
-    ends = part.join(open_, "c").select("c", "kept", "text", "hs").mapInArrow(tell_strings, "c bigint, s int, alone boolean, string bigint")
+    ends = part.join(open_, "c").select("c", "text", "at", "near", "far", "hs").mapInArrow(tell_strings, "c bigint, s int, alone boolean, string bigint")
     # 4. strings without a trigger near
-    bare_ = classes.select("c", F.explode(F.arrays_zip("bare_at", "bare_hash")).alias("x")).select("c", F.col("x.bare_at").alias("s"), F.lit(True).alias("alone"), F.col("x.bare_hash").alias("string"))
+    bare_ = parsed.select("c", F.explode(F.arrays_zip("bare_at", "bare_hash")).alias("x")).select("c", F.col("x.bare_at").alias("s"), F.lit(True).alias("alone"), F.col("x.bare_hash").alias("string"))
     strings = written(ends.unionByName(bare_), "strings")
     again = written(strings.groupBy("string").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("string"), "strings-twice")
     single = strings.where("alone").join(_some(again.count(), again), "string").select("c", F.col("s").cast("bigint").alias("lo"), F.col("s").cast("bigint").alias("hi"))
@@ -228,19 +283,18 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
                     out.append((sum(b - a for a, b in runs), len(runs), sha.hexdigest()))
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.string())], ["digest", "n_removed", "n_spans", "kept_sha256"])
 
-    # texts that have repeats but no kept trigger (bare strings only) are fetched too
-    starts = written(starts.join(classes.select("c", "digest", "one", "copies", "n_bytes"), "c").where("copies = 1"), "starts")
-    late = starts.join(part.select("c"), "c", "left_anti").select("c", F.col("digest").alias("d"), F.col("one"), "starts")
-    missing = source.select("doc_id", "digest", "text").join(_some(starts.count(), late), F.col("digest").eqNullSafe(F.col("d")) & F.col("doc_id").eqNullSafe(F.col("one"))).select("digest", "text", "starts")
+    starts = written(starts.join(named, "c").join(classes.where("copies = 1").select("digest"), "digest", "left_semi"), "starts")
+    # texts whose repeats are bare strings only are fetched too
+    late = written(starts.join(part.select("c"), "c", "left_anti").select(F.col("digest").alias("d"), F.col("one").alias("i"), "starts"), "late")
+    missing = texts.join(_some(late.count(), late.select("i", "d")), same("i", "d"), "left_semi").hint("merge").join(late, F.col("digest") == F.col("d")).select("digest", "text", "starts")
     here = part.select("c", "text").join(starts.select("c", "digest", "starts"), "c").select("digest", "text", "starts")
     done = here.unionByName(missing).mapInArrow(remove, "digest binary, n_removed bigint, n_spans bigint, kept_sha256 string")
     full = classes.where(f"copies > 1 and n_bytes >= {length}").select("digest", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"), F.lit(EMPTY_SHA).alias("kept_sha256"))
     result = written(done.unionByName(full), "removed")
 
-    base = source.select("doc_id", "digest", F.octet_length("text").cast("bigint").alias("n_bytes"), "sha")
     out = base.hint("merge").join(result, "digest", "left")
     zero = F.lit(0).cast("bigint")
-    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", F.lower(F.hex("digest"))).alias("kept_sha256"))
 
 
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
