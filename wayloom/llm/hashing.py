@@ -52,8 +52,11 @@ def utf8(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The 64-bit hash of each word (run of bytes without ASCII white space), and the n + 1 word offsets of the texts."""
+def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hash of each word and the n + 1 word offsets of the texts.
+
+    A word is a run of bytes that aren't ``apart``: by default, that are no ASCII white space.
+    """
     found, starts_all, n, at = [], [], len(data), 0
     cuts = np.zeros(n + 1, bool)
     cuts[offsets] = True
@@ -61,10 +64,10 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     while at < n:
         end = min(n, at + PIECE)
         if end < n:  # cut at white space or at a text's end if there is any
-            space = np.flatnonzero(_SPACE[data[at:end]] | cuts[at + 1 : end + 1])
+            space = np.flatnonzero(apart[data[at:end]] | cuts[at + 1 : end + 1])
             end = at + int(space[-1]) + 1 if len(space) else end
         part = data[at:end]
-        black = ~_SPACE[part]
+        black = ~apart[part]
         before = np.empty_like(black)
         before[0], before[1:] = False, black[:-1]
         opens = black & (~before | cuts[at:end])

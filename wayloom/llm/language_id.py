@@ -27,7 +27,7 @@ from wayloom.llm.common import slices, small_batches
 
 LONGEST, PROFILE, PER_LANG = 3, 400, 3000
 #: Softmax width of normalised distances in the score, and the distance beyond which a text is like no learned language.
-WIDTH, UNLIKE = 0.02, 0.985
+WIDTH, UNLIKE = 0.02, 0.95
 WORD = re.compile(r"[^\W\d_]+")
 _GRAMS: dict[str, np.ndarray] = {}
 _MOST_CACHED = 150_000
@@ -136,6 +136,20 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+def identified(docs: DataFrame, learned: Profiles, unlike: float = UNLIKE) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text is in a learned language."""
+    small_batches(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                seen = [learned.predict(t) for t in part.column(at).to_pylist()]
+                yield part.filter(pa.array([lang != "und" and far <= unlike for lang, _, far in seen], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op8_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     learned = learn(docs.where(~held_out()))

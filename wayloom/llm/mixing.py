@@ -1,6 +1,7 @@
 """Mixing to target weights with soft domain membership.
 
-1. A classifier (multinomial logistic regression over hashed words and symbols) learns the domains of a labelled table,
+1. A classifier (multinomial logistic regression over the words and symbols
+   that tell most) learns the domains of a labelled table,
    from at most about ``most`` labelled rows (a documented bound; a hash of the id draws them).
 2. It gives every document a posterior p over the domains; documents are never assigned to one domain.
 3. Projected gradient fits a rate r >= 0 to every document so that the expected token totals of the domains,
@@ -22,77 +23,99 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayloom.llm import hashing
 from wayloom.llm.common import slices, small_batches, whole_text, written
 
-BUCKETS, MOST, STEPS, RIDGE = 1 << 14, 6000, 60, 1e-3
+MOST, MOST_FEATURES, LEAST_CHI, STEPS, RIDGE = 6000, 2000, 25.0, 60, 1e-3
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+SYMBOL = np.array([33 <= c < 127 and not chr(c).isalnum() for c in range(256)])
 #: Domains of op9 and the pipeline: from the labels table. Target weights; the scarcest domain sets the budget.
 DOMAINS = ("clean", "poor", "toxic")
 TARGETS = (0.97, 0.03, 0.0)
 
 
-def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse features of each text, (text, bucket, value), and the texts' numbers of words.
+def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The features that each text has, as (text, 64-bit feature) pairs, each once, and the texts' numbers of words.
 
-    A word is hashed whole, and so is its last byte: symbols at words' ends tell junk from prose.
+    A feature is a word in lower case (runs of letters, digits and bytes beyond ASCII), or a symbol with how common it
+    is: under 1, under 10, or more in a hundred words.
     """
     data, offsets = hashing.utf8(texts)
-    word, at = hashing.words(data, offsets)
-    n = np.diff(at)
-    owner = np.repeat(np.arange(len(n)), n)
-    space = hashing._SPACE[data]
-    last = np.concatenate([space[1:], [True]]) if len(data) else np.zeros(0, bool)
-    if len(data):
-        last[offsets[1:][offsets[1:] > 0] - 1] = True
-    ends = data[np.flatnonzero(~space & last)].astype(np.int64)
-    bucket = (word % np.uint64(BUCKETS - 256)).astype(np.int64) + 256
-    keys = np.concatenate([owner * BUCKETS + bucket, (owner * BUCKETS + ends)[: len(owner)]])
-    keys, times = np.unique(keys, return_counts=True)
-    who, what = keys // BUCKETS, keys % BUCKETS
-    value = np.log1p(times)
-    norm = np.sqrt(np.bincount(who, value * value, len(n)))
-    return who, what, value / norm[who], n
+    _, spaced = hashing.words(data, offsets)
+    n = np.diff(spaced)
+    word, at = hashing.words(LOWER[data], offsets, SYMBOL | hashing._SPACE)
+    owner = np.repeat(np.arange(len(n)), np.diff(at))
+    symbols = np.flatnonzero(SYMBOL[data])
+    place = np.searchsorted(offsets, symbols, "right") - 1
+    both, times = np.unique(place * 256 + data[symbols], return_counts=True)
+    common = np.digitize(times / np.maximum(n[both // 256], 1), (0.01, 0.1))
+    symbol = hashing.mix(((both % 256) * 4 + common).astype(np.uint64))
+    owner, feature = np.concatenate([owner, both // 256]), np.concatenate([word, symbol])
+    order = np.lexsort((feature, owner))
+    owner, feature = owner[order], feature[order]
+    first = np.ones(len(owner), bool)
+    first[1:] = (owner[1:] != owner[:-1]) | (feature[1:] != feature[:-1])
+    return owner[first], feature[first], n
 
 
 class Classifier:
-    def __init__(self, weights: np.ndarray):
-        self.weights = weights  # (BUCKETS + 1, domains); the last row is the bias
+    """Linear scores of the domains over a few thousand telling features."""
+
+    def __init__(self, ids: np.ndarray, weights: np.ndarray, bias: np.ndarray):
+        self.ids, self.weights, self.bias = ids, weights, bias
 
     def posteriors(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        who, what, value, n = features(texts)
-        k = self.weights.shape[1]
-        score = np.stack([np.bincount(who, value * self.weights[what, j], len(n)) for j in range(k)], 1) if k else np.zeros((len(n), 0))
-        score = score + self.weights[-1]
+        who, what, n = features(texts)
+        score = np.repeat(self.bias[None, :], len(n), 0)
+        if len(self.ids) and len(what):
+            at = np.minimum(np.searchsorted(self.ids, what), len(self.ids) - 1)
+            hit = np.flatnonzero(self.ids[at] == what)
+            for j in range(len(self.bias)):
+                score[:, j] += np.bincount(who[hit], self.weights[at[hit], j], len(n))
         score = np.exp(score - score.max(1, keepdims=True)) if len(n) else score
         return score / score.sum(1, keepdims=True), n
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, int]], domains: int, steps: int = 300, rate: float = 0.5, decay: float = 1e-4) -> Classifier:
-    """Multinomial logistic regression by full-batch Adam steps on the driver, on the bounded sample."""
-    weights = np.zeros((BUCKETS + 1, domains))
+def train(rows: list[tuple[np.ndarray, int]], domains: int, steps: int = 200, rate: float = 0.1, decay: float = 1e-4) -> Classifier:
+    """Multinomial logistic regression by full-batch Adam steps on the driver, on the bounded sample.
+
+    Features are the ``MOST_FEATURES`` whose chi-square statistic with a domain is greatest, ``LEAST_CHI`` at least.
+    """
     if not rows:
-        return Classifier(weights)
+        return Classifier(np.zeros(0, np.uint64), np.zeros((0, domains)), np.zeros(domains))
     who = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    what, value = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
-    want = np.eye(domains)[[r[2] for r in rows]]
-    used, what = np.unique(what, return_inverse=True)
-    w, b = np.zeros((len(used), domains)), np.log(want.mean(0) + 1e-3)
+    ids, what = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True)
+    label = np.array([r[1] for r in rows])
+    want = np.eye(domains)[label]
+    prior = want.mean(0)
+    seen = np.stack([np.bincount(what, want[who, j], len(ids)) for j in range(domains)], 1)
+    docs = seen.sum(1, keepdims=True)
+    expected = docs * prior
+    chi = np.where(docs >= 3, (seen - expected) ** 2 / np.maximum(expected * (1 - prior), 1e-9), 0).max(1)
+    chosen = np.sort(np.argsort(-chi, kind="stable")[:MOST_FEATURES])
+    chosen = chosen[chi[chosen] >= LEAST_CHI]
+    new = np.full(len(ids), -1)
+    new[chosen] = np.arange(len(chosen))
+    on = new[what] >= 0
+    who, what = who[on], new[what[on]]
+    w, b = np.zeros((len(chosen), domains)), np.log(prior + 1e-3)
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), np.zeros(domains), np.zeros(domains)
     for i in range(1, steps + 1):
-        score = np.stack([np.bincount(who, value * w[what, j], len(rows)) for j in range(domains)], 1) + b
+        score = np.stack([np.bincount(who, w[what, j], len(rows)) for j in range(domains)], 1) + b
         p = np.exp(score - score.max(1, keepdims=True))
         miss = (p / p.sum(1, keepdims=True) - want) / len(rows)
-        g = np.stack([np.bincount(what, value * miss[who, j], len(used)) for j in range(domains)], 1) + decay * w
+        g = np.stack([np.bincount(what, miss[who, j], len(chosen)) for j in range(domains)], 1) + decay * w
         gb = miss.sum(0)
         for x, gx, mx, vx in ((w, g, m, v), (b, gb, mb, vb)):
             mx *= 0.9
             mx += 0.1 * gx
             vx *= 0.99
             vx += 0.01 * gx * gx
-            x -= rate * 0.1 * (mx / (1 - 0.9**i)) / (np.sqrt(vx / (1 - 0.99**i)) + 1e-8)
-    weights[used], weights[-1] = w, b
-    return Classifier(weights)
+            x -= rate * (mx / (1 - 0.9**i)) / (np.sqrt(vx / (1 - 0.99**i)) + 1e-8)
+    return Classifier(ids[chosen], w, b)
 
 
 def learn(labelled: DataFrame, domains: Sequence[str]) -> Classifier:
@@ -103,15 +126,14 @@ def learn(labelled: DataFrame, domains: Sequence[str]) -> Classifier:
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                who, what, value, _ = features(part.column(0))
+                who, what, _ = features(part.column(0))
                 at = np.searchsorted(who, np.arange(part.num_rows + 1))
-                ids = [what[at[i] : at[i + 1]].astype(np.int32).tobytes() for i in range(part.num_rows)]
-                vals = [value[at[i] : at[i + 1]].astype(np.float32).tobytes() for i in range(part.num_rows)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(vals, pa.binary()), pa.array([names.index(d) for d in part.column(1).to_pylist()], pa.int32())], ["ids", "vals", "domain"])
+                ids = [what[at[i] : at[i + 1]].tobytes() for i in range(part.num_rows)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array([names.index(d) for d in part.column(1).to_pylist()], pa.int32())], ["ids", "domain"])
 
-    rows = known.select(whole_text().alias("text"), "domain").mapInArrow(run, "ids binary, vals binary, domain int").collect()
-    rows = sorted(((bytes(r["ids"]), bytes(r["vals"]), r["domain"]) for r in rows))
-    return train([(np.frombuffer(a, np.int32), np.frombuffer(b, np.float32).astype(float), d) for a, b, d in rows], len(domains))
+    rows = known.select(whole_text().alias("text"), "domain").mapInArrow(run, "ids binary, domain int").collect()
+    rows = sorted((bytes(r["ids"]), r["domain"]) for r in rows)
+    return train([(np.frombuffer(a, np.uint64), d) for a, d in rows], len(domains))
 
 
 def rate_of(posteriors: np.ndarray, history: Sequence[np.ndarray], ridge: float = RIDGE) -> np.ndarray:
@@ -122,7 +144,7 @@ def rate_of(posteriors: np.ndarray, history: Sequence[np.ndarray], ridge: float
     return r
 
 
-def fit(scored: DataFrame, targets: Sequence[float], budget: float | None = None, steps: int = STEPS, ridge: float = RIDGE, close: float = 1e-5) -> list[np.ndarray]:
+def fit(scored: DataFrame, targets: Sequence[float], budget: float | None = None, steps: int = STEPS, ridge: float = RIDGE, close: float = 1e-4) -> list[np.ndarray]:
     """The residual directions of the projected-gradient steps over ``n_tokens, p`` rows.
 
     ``budget`` is in tokens; without one it is what the scarcest domain allows without repetition.
@@ -155,11 +177,10 @@ def fit(scored: DataFrame, targets: Sequence[float], budget: float | None = None
     scale = np.where(share > 0, 1 / np.maximum(share, 1e-12), 0)
     now = share
     for _ in range(steps):
-        miss = now - want
-        if np.abs(miss).max() < close:
+        history.append(scale * (now - want))
+        before, now = now, totals(history) / whole
+        if np.abs(now - before).max() < close:
             break
-        history.append(scale * miss)
-        now = totals(history) / whole
     return history
 
 
@@ -219,6 +240,25 @@ def drawn(rate: Column, key: Column) -> Column:
     return (rate >= SURE) | (F.pmod(F.xxhash64(F.lit("mix"), key), F.lit(1_000_003)) / 1_000_003.0 < rate)
 
 
+RATE = "__wayloom_rate"
+
+
+def mixed(docs: DataFrame, labels: DataFrame, domains: Sequence[str] = DOMAINS, targets: Sequence[float] = TARGETS) -> DataFrame:
+    """The rows of ``docs`` that their rates keep, with all their columns; the second scoring saves a join of whole rows."""
+    classifier = learn(label_domains(docs, labels), domains)
+    history = fit(written(posteriors(docs, classifier), "mix-posteriors"), targets)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                p, _ = classifier.posteriors(part.column(at))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rate_of(p, history))], [*part.schema.names, RATE])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(RATE, T.DoubleType())])
+    return docs.mapInArrow(run, schema).where(drawn(F.col(RATE), F.col("doc_id"))).drop(RATE)
+
+
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     rates = mix(docs, label_domains(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
