@@ -264,7 +264,8 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     bare_ = parsed.select("c", F.explode(F.arrays_zip("bare_at", "bare_hash")).alias("x")).select("c", F.col("x.bare_at").alias("s"), F.lit(True).alias("alone"), F.col("x.bare_hash").alias("string"))
     strings = written(ends.unionByName(bare_), "strings")
     again = written(strings.groupBy("string").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("string"), "strings-twice")
-    single = strings.where("alone").join(_some(again.count(), again), "string").select("c", F.col("s").cast("bigint").alias("lo"), F.col("s").cast("bigint").alias("hi"))
+    # this list grows as the strings do: the same sorted join at every size
+    single = strings.where("alone").hint("merge").join(again, "string").select("c", F.col("s").cast("bigint").alias("lo"), F.col("s").cast("bigint").alias("hi"))
 
     starts = settled.unionByName(single).groupBy("c").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("starts"))
 
