@@ -118,9 +118,28 @@ class Mesh:
         def push(root, cost, right, left, trap, back):
             heapq.heappush(heap, (cost + _dist(root, goal), next(serial), root, cost, right, left, trap, back))
 
+        def bend(end, root, cost, trap):
+            """Cost at ``end`` if a path may bend there and none is known that is shorter."""
+            further = cost + _dist(root, end)
+            if end != root and self.bends is not None and end not in self.bends or further > best.get(end, math.inf) + EPS:
+                return None
+            if further < best.get(end, math.inf):
+                best[end], parent[end], plane_of[end] = further, root, self.traps[trap][0]
+            return further
+
+        def along(root, cost, a, b, to, trap):
+            """Into a gate that lies on one line with the root: around its nearer end."""
+            end = min((a, b), key=lambda e: _dist(root, e))
+            further = bend(end, root, cost, trap)
+            if further is not None:
+                push(end, further, a, b, to, trap)
+
+        flat = lambda o, a, b: abs(_cross(o, a, b)) <= EPS * max(1.0, _dist(a, b))
         for t in near:
             for a, b, to, _ in self.gates[t]:
-                if to not in near:
+                if to not in near and flat(start, a, b):
+                    along(start, 0.0, a, b, to, t)
+                elif to not in near:
                     right, left = (a, b) if _cross(start, a, b) >= 0 else (b, a)
                     push(start, 0.0, right, left, to, t)
         steps, final = 0, None
@@ -133,26 +152,35 @@ class Mesh:
             if cost > best.get(root, math.inf) + EPS:
                 continue
             if trap in goals:
-                self._to_goal(heap, serial, root, cost, right, left, goal, best, parent, plane_of, trap)
-            inside = min(_dist(root, right), _dist(root, left)) <= EPS or abs(_cross(root, right, left)) <= EPS * max(1.0, _dist(right, left))
+                self._to_goal(heap, serial, root, cost, right, left, goal, bend, trap)
+            inside = min(_dist(root, right), _dist(root, left)) <= EPS or flat(root, right, left)
             mid = ((right[0] + left[0]) / 2, (right[1] + left[1]) / 2)
             for a, b, to, _ in self.gates[trap]:
                 if to == back:
                     continue
-                turn = _cross(mid, a, b)
-                if abs(turn) <= EPS:
+                if flat(root, a, b):
+                    end = min((a, b), key=lambda e: _dist(root, e))
+                    if inside or (_cross(root, right, end) >= -EPS and _cross(root, left, end) <= EPS):
+                        along(root, cost, a, b, to, trap)
+                    if inside:
+                        continue
+                if flat(mid, a, b):  # on the same side of the trapezoid
+                    for end in (right, left):
+                        further = bend(end, root, cost, trap)
+                        if further is not None:
+                            along(end, further, a, b, to, trap)
                     continue
-                p, q = (a, b) if turn > 0 else (b, a)
+                p, q = (a, b) if _cross(mid, a, b) > 0 else (b, a)
                 lo, hi = (0.0, 1.0) if inside else (self._clip(root, right, p, q, True), self._clip(root, left, p, q, False))
                 at = lambda t, p=p, q=q: p if t <= 0 else q if t >= 1 else (p[0] + (q[0] - p[0]) * t, p[1] + (q[1] - p[1]) * t)
                 if hi - lo > EPS:
                     push(root, cost, at(lo), at(hi), to, trap)
                 for end, span in ((right, (0.0, min(lo, 1.0))), (left, (max(hi, 0.0), 1.0))):
-                    if span[1] - span[0] > EPS and not inside and (self.bends is None or end in self.bends):
-                        further = cost + _dist(root, end)
-                        if further <= best.get(end, math.inf) + EPS:
-                            if further < best.get(end, math.inf):
-                                best[end], parent[end], plane_of[end] = further, root, self.traps[trap][0]
+                    if span[1] - span[0] > EPS and not inside:
+                        further = bend(end, root, cost, trap)
+                        if further is not None and flat(end, a, b):
+                            along(end, further, a, b, to, trap)
+                        elif further is not None:
                             push(end, further, at(span[0]), at(span[1]), to, trap)
         if final is None:
             return UNREACHABLE, None, None
@@ -179,16 +207,12 @@ class Mesh:
             return 0.0 if sp >= -EPS else 1.0 if sq <= EPS else sp / (sp - sq)
         return 1.0 if sq <= EPS else 0.0 if sp >= -EPS else sp / (sp - sq)
 
-    def _to_goal(self, heap, serial, root, cost, right, left, goal, best, parent, plane_of, trap):
+    def _to_goal(self, heap, serial, root, cost, right, left, goal, bend, trap):
         flat = abs(_cross(root, right, left)) <= EPS * max(1.0, _dist(right, left))
-        ends = [root] if flat or (_cross(root, right, goal) >= -EPS and _cross(root, left, goal) <= EPS) else [right if _cross(root, right, goal) < 0 else left]
-        for end in ends:
-            if end != root and self.bends is not None and end not in self.bends:
-                continue
-            further = cost + _dist(root, end)
-            if end != root and further < best.get(end, math.inf):
-                best[end], parent[end], plane_of[end] = further, root, self.traps[trap][0]
-            if further <= best.get(end, math.inf) + EPS:
+        seen = flat or (_cross(root, right, goal) >= -EPS and _cross(root, left, goal) <= EPS)
+        for end in [root] if seen else [right, left]:
+            further = cost if end == root else bend(end, root, cost, trap)
+            if further is not None:
                 heapq.heappush(heap, (further + _dist(end, goal), next(serial), end, further, None, None, None, None))
 
 
