@@ -26,7 +26,8 @@ from wayloom.llm.token_count import tokenizer
 
 WINDOW = 4096
 _IDS: dict[str, dict[str, bytes]] = {}
-_MOST_CACHED = 1_000_000
+_ENDS: dict[str, np.ndarray] = {}
+_MOST_CACHED = 500_000
 PIECE = re.compile(r"\w+|[^\w \t\n\r\x0b\x0c\x85\xa0]+")
 
 
@@ -51,18 +52,43 @@ def _latin(text: str) -> bool:
     return True
 
 
+def _encoded(path: str, parts: list[str]) -> list[bytes]:
+    """The ids of each part. Words of Latin-1 letters are one pre-token each, whose last id alone ends a word: many are
+    encoded as one text and cut at those ids."""
+    tok = tokenizer(path)
+    if path not in _ENDS:
+        vocab = tok.get_vocab()
+        _ENDS[path] = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        _ENDS[path][[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+    fast = getattr(tok, "encode_batch_fast", tok.encode_batch)
+    plain = [w for w in parts if w.isalpha() and (w.isascii() or _latin(w))]
+    ids = np.array(fast([" ".join(plain)], add_special_tokens=False)[0].ids if plain else [], "<u4")
+    cuts = ((np.flatnonzero(_ENDS[path][ids]) + 1) * 4).tolist()
+    out = dict.fromkeys(parts)
+    if len(cuts) == len(plain):
+        data, at = ids.tobytes(), 0
+        for w, cut in zip(plain, cuts, strict=True):
+            out[w], at = data[at:cut], cut
+    rest = [w for w, v in out.items() if v is None]
+    for w, e in zip(rest, fast(rest, add_special_tokens=False), strict=True):
+        out[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+    return list(out.values())
+
+
 def word_ids(path: str, texts: list[str]) -> list[bytes]:
-    """The ids of each text, as little-endian unsigned 32-bit; each distinct part is encoded once and kept."""
-    tok, kept = tokenizer(path), _IDS.setdefault(path, {})
+    """The ids of each text, as little-endian unsigned 32-bit; each distinct part is encoded once and kept.
+
+    When too many are kept, those of these texts stay, which has the common ones.
+    """
+    kept = _IDS.setdefault(path, {})
     parts = [pieces(t) for t in texts]
+    now = set().union(*parts)
     if len(kept) > _MOST_CACHED:
-        kept.clear()
-    new = list({w for p in parts for w in p if w not in kept})
-    for i in range(0, len(new), 2048):
-        some = new[i : i + 2048]
-        for w, e in zip(some, getattr(tok, "encode_batch_fast", tok.encode_batch)(some, add_special_tokens=False), strict=True):
-            ids = e.ids
-            kept[w] = struct.pack(f"<{len(ids)}I", *ids)
+        kept = _IDS[path] = {w: kept[w] for w in now if w in kept}
+    new = list(now.difference(kept))
+    for i in range(0, len(new), 4096):
+        some = new[i : i + 4096]
+        kept.update(zip(some, _encoded(path, some), strict=True))
     return [b"".join(map(kept.__getitem__, p)) for p in parts]
 
 
