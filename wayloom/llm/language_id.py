@@ -30,7 +30,7 @@ LONGEST, PROFILE, PER_LANG = 3, 400, 3000
 WIDTH, UNLIKE = 0.02, 0.95
 WORD = re.compile(r"[^\W\d_]+")
 _GRAMS: dict[str, np.ndarray] = {}
-_MOST_CACHED = 150_000
+_MOST_CACHED = 100_000
 
 
 def grams(word: str) -> list[str]:
@@ -146,6 +146,7 @@ def identified(docs: DataFrame, learned: Profiles, unlike: float = UNLIKE) -> Da
             for part in slices(batch, "text"):
                 seen = [learned.predict(t) for t in part.column(at).to_pylist()]
                 yield part.filter(pa.array([lang != "und" and far <= unlike for lang, _, far in seen], pa.bool_()))
+        _GRAMS.clear()  # the worker lives on
 
     return docs.mapInArrow(run, docs.schema)
 
