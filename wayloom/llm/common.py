@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -57,6 +58,25 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+_KEPT: dict[str, object] = {}
+
+
+def keeps(operator: str, clear) -> None:
+    """``operator`` keeps something in the worker between tasks, which ``clear`` drops."""
+    _KEPT[operator] = clear
+
+
+def starts(operator: str) -> None:
+    """A task of ``operator`` starts in this worker, which other operators have used: drop what they keep."""
+    for other, clear in _KEPT.items():
+        if other != operator:
+            clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def whole_text(column: str = "text"):
     """The text, null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

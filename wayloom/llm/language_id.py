@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayloom.llm.common import slices, small_batches
+from wayloom.llm.common import keeps, slices, small_batches, starts
 
 LONGEST, PROFILE, PER_LANG = 3, 400, 3000
 #: Softmax width of normalised distances in the score, and the distance beyond which a text is like no learned language.
@@ -33,6 +33,9 @@ _GRAMS: dict[str, np.ndarray] = {}
 _MOST_CACHED = 100_000
 
 
+keeps("language", _GRAMS.clear)
+
+
 def grams(word: str) -> list[str]:
     w = f"_{word}_"
     return [w[i : i + n] for n in range(1, LONGEST + 1) for i in range(len(w) - n + 1) if n > 1 or 0 < i < len(w) - 1]
@@ -100,15 +103,17 @@ def learn(rows: DataFrame, per_lang: int = PER_LANG) -> Profiles:
     sample = known.where(draw < share[F.col("lang")]).select("lang", "text")
 
     def count(batches):
+        starts("language")
         for batch in batches:
             for part in slices(batch, "text"):
                 by: dict[str, Counter] = defaultdict(Counter)
                 for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     by[lang].update(WORD.findall((text or "").lower()))
-                out = [(lang, g, n) for lang, words in by.items() for w, n in words.items() for g in grams(w)]
                 total: Counter = Counter()
-                for lang, g, n in out:
-                    total[lang, g] += n
+                for lang, words in by.items():
+                    for w, n in words.items():
+                        for g in grams(w):
+                            total[lang, g] += n
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total]), pa.array([k[1] for k in total]), pa.array(list(total.values()), pa.int64())], ["lang", "gram", "n"])
 
     total = sample.mapInArrow(count, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -124,6 +129,7 @@ def identify(rows: DataFrame, learned: Profiles) -> DataFrame:
     small_batches(rows.sparkSession)
 
     def run(batches):
+        starts("language")
         for batch in batches:
             for part in slices(batch, "text"):
                 out = [learned.predict(t) for t in part.column(1).to_pylist()]
@@ -142,11 +148,11 @@ def identified(docs: DataFrame, learned: Profiles, unlike: float = UNLIKE) -> Da
     at = docs.columns.index("text")
 
     def run(batches):
+        starts("language")
         for batch in batches:
             for part in slices(batch, "text"):
                 seen = [learned.predict(t) for t in part.column(at).to_pylist()]
                 yield part.filter(pa.array([lang != "und" and far <= unlike for lang, _, far in seen], pa.bool_()))
-        _GRAMS.clear()  # the worker lives on
 
     return docs.mapInArrow(run, docs.schema)
 

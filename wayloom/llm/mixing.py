@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayloom.llm import hashing
-from wayloom.llm.common import slices, small_batches, whole_text, written
+from wayloom.llm.common import slices, small_batches, starts, whole_text, written
 
 MOST, MOST_FEATURES, LEAST_CHI, STEPS, RIDGE = 6000, 2000, 25.0, 60, 1e-3
 LOWER = np.arange(256, dtype=np.uint8)
@@ -124,6 +124,7 @@ def learn(labelled: DataFrame, domains: Sequence[str]) -> Classifier:
     names = list(domains)
 
     def run(batches):
+        starts("mix")
         for batch in batches:
             for part in slices(batch, "text"):
                 who, what, _ = features(part.column(0))
@@ -155,6 +156,7 @@ def fit(scored: DataFrame, targets: Sequence[float], budget: float | None = None
 
     def totals(history):
         def run(batches):
+            starts("mix")
             out = np.zeros(k)
             for batch in batches:
                 if batch.num_rows:
@@ -189,6 +191,7 @@ def posteriors(docs: DataFrame, classifier: Classifier, doc_id: str = "doc_id",
     small_batches(docs.sparkSession)
 
     def run(batches):
+        starts("mix")
         for batch in batches:
             for part in slices(batch, "text"):
                 p, n = classifier.posteriors(part.column(1))
@@ -204,6 +207,7 @@ def with_rates(scored: DataFrame, history: Sequence[np.ndarray], ridge: float =
     """``doc_id, n_tokens, p, rate``."""
 
     def run(batches):
+        starts("mix")
         for batch in batches:
             p = np.array(batch.column(2).to_pylist()) if batch.num_rows else np.zeros((0, 1))
             rate = rate_of(p, history, ridge) if batch.num_rows else np.zeros(0)
@@ -250,6 +254,7 @@ def mixed(docs: DataFrame, labels: DataFrame, domains: Sequence[str] = DOMAINS,
     at = docs.columns.index("text")
 
     def run(batches):
+        starts("mix")
         for batch in batches:
             for part in slices(batch, "text"):
                 p, _ = classifier.posteriors(part.column(at))

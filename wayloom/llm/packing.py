@@ -21,13 +21,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayloom.llm.common import slices, small_batches, whole_text, written
+from wayloom.llm.common import keeps, slices, small_batches, starts, whole_text, written
 from wayloom.llm.token_count import tokenizer
 
 WINDOW = 4096
 _IDS: dict[str, dict[str, bytes]] = {}
 _ENDS: dict[str, np.ndarray] = {}
 _MOST_CACHED = 500_000
+keeps("packing", _IDS.clear)
 PIECE = re.compile(r"\w+|[^\w \t\n\r\x0b\x0c\x85\xa0]+")
 
 
@@ -112,14 +113,15 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, window: int = WINDOW, doc_
     end = np.array([end_id], "<u4").tobytes()
 
     def first(batches):
+        starts("packing")
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
             for some in slices(batch, "text", 1 << 19):
                 ids = [x + end for x in encode(path, some.column(1).to_pylist())]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
-                starts = at + np.cumsum(n) - n
+                local = at + np.cumsum(n) - n
                 at += int(n.sum())
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(starts), pa.array(n), pa.array(ids, pa.binary())], ["doc_id", "part", "local", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(local), pa.array(n), pa.array(ids, pa.binary())], ["doc_id", "part", "local", "n", "ids"])
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), whole_text(text).alias("text"))
     held = written(rows.mapInArrow(first, "doc_id bigint, part int, local bigint, n bigint, ids binary"), "packing-ids")
@@ -129,7 +131,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, window: int = WINDOW, doc_
     for part, n in totals:
         bases.append((part, base))
         base += n
-    starts = F.broadcast(spark.createDataFrame(bases, "part int, base bigint"))
+    first_of = F.broadcast(spark.createDataFrame(bases, "part int, base bigint"))
 
     def second(batches):
         for batch in batches:
@@ -145,7 +147,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, window: int = WINDOW, doc_
                         start += length
                 yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(7)] + [pa.array([o[7] for o in out], pa.binary())], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    placed = held.join(starts, "part").select("doc_id", (F.col("base") + F.col("local")).alias("at"), "n", "ids")
+    placed = held.join(first_of, "part").select("doc_id", (F.col("base") + F.col("local")).alias("at"), "n", "ids")
     return placed.mapInArrow(second, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary")
 
 
