@@ -142,6 +142,8 @@ class PrefixCode:
         counts = [bits.read(width) for _ in range(longest)]
         if not bits.left:
             raise BadData("truncated code table")
+        if sum(counts) > alphabet or any(sum(c << (longest - k - 1) for k, c in enumerate(counts[: n + 1])) > 1 << longest for n in range(longest)):
+            raise BadData("bad code table")
         size = (alphabet - 1).bit_length()
         return cls(counts, [bits.read(size) for _ in range(sum(counts))])
 
