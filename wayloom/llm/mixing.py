@@ -32,7 +32,7 @@ MOST, MOST_FEATURES, LEAST_CHI, STEPS, RIDGE = 6000, 2000, 25.0, 60, 1e-3
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SYMBOL = np.array([33 <= c < 127 and not chr(c).isalnum() for c in range(256)])
-#: Domains of op9 and the pipeline: from the labels table. Target weights; the scarcest domain sets the budget.
+#: Domains of op9 and the pipeline: from the labels table. Target weights; the domain of the greatest sets the budget.
 DOMAINS = ("clean", "poor", "toxic")
 TARGETS = (0.97, 0.03, 0.0)
 
@@ -148,7 +148,7 @@ def rate_of(posteriors: np.ndarray, history: Sequence[np.ndarray], ridge: float
 def fit(scored: DataFrame, targets: Sequence[float], budget: float | None = None, steps: int = STEPS, ridge: float = RIDGE, close: float = 1e-4) -> list[np.ndarray]:
     """The residual directions of the projected-gradient steps over ``n_tokens, p`` rows.
 
-    ``budget`` is in tokens; without one it is what the scarcest domain allows without repetition.
+    ``budget`` is in tokens; without one it is what uses the domain of the greatest target once.
     """
     goal = np.array(targets, float) / max(sum(targets), 1e-300)
     k = len(goal)
@@ -174,7 +174,7 @@ def fit(scored: DataFrame, targets: Sequence[float], budget: float | None = None
         return []
     share = natural / whole
     if budget is None:
-        budget = whole * min([share[j] / goal[j] for j in range(k) if goal[j] > 0] or [0.0])
+        budget = whole * share[goal.argmax()] / max(goal.max(), 1e-300)
     want = goal * budget / whole
     scale = np.where(share > 0, 1 / np.maximum(share, 1e-12), 0)
     now = share
