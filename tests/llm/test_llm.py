@@ -137,7 +137,8 @@ def test_word_cache_is_the_tokenizer():
     rng = random.Random(9)
     signs = ["a", "B", "é", "ß", "'s", "'", "_", ".", "...", "!", "12", "½", " ", "\n", " ", "\u0085", "\x1c", "<|endoftext|>", "日", "́", "don't", "<|"]
     texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
-    assert packing.encode(path, texts) == [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
+    texts += ["don't Über", "über don", "ÀÉÞ × ÷ ß", None, "x" * 700_000 + " y"]
+    assert packing.encode(path, pa.array(texts)) == [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
 def test_token_counts(spark):

@@ -93,6 +93,49 @@ def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SPACE) ->
     return hashes, np.searchsorted(starts, offsets, "left")
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def lower(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with the capitals of ASCII and of Latin-1 (lead byte C3) in lower case."""
+    out = _LOWER[data]
+    if len(data):
+        capital = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
+        out[capital] += 0x20
+    return out
+
+
+def segments(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of bytes of one kind (0 is left out) inside texts: hashes, the texts' n + 1 offsets, starts, ends.
+
+    Runs are hashed in pieces of the data that are cut between runs; a run longer than a piece is hashed by itself.
+    """
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    k = kind[data]
+    edge = np.ones(n + 1, bool)
+    edge[1:-1] = k[1:] != k[:-1]
+    edge[offsets] = True
+    bounds = np.flatnonzero(edge)
+    s, e = bounds[:-1], bounds[1:]
+    on = k[s] != 0
+    s, e = s[on], e[on]
+    hashes = np.zeros(len(s), np.uint64)
+    i = 0
+    while i < len(s):
+        a = s[i]
+        j = max(i + 1, int(np.searchsorted(e, a + PIECE, "right")))
+        part = data[a : e[j - 1]]
+        powers_, inverse = (_POW, _INV) if len(part) <= PIECE else (powers(BASE, len(part) + 1), powers(_INVERSE, len(part) + 1))
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * powers_[: len(part)], dtype=np.uint64, out=sums[1:])
+        hashes[i:j] = mix((sums[e[i:j] - a] - sums[s[i:j] - a]) * inverse[s[i:j] - a] + (e[i:j] - s[i:j]).astype(np.uint64))
+        i = j
+    return hashes, np.searchsorted(s, offsets, "left"), s, e
+
+
 def shingles(hashes: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the runs of ``size`` words that stay in one text; a shorter text that has a word gives one."""
     n = np.diff(offsets)

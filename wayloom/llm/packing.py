@@ -11,7 +11,6 @@ piece; other columns are ignored. The order of the stream is that of the partiti
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 
@@ -21,28 +20,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayloom.llm import hashing
 from wayloom.llm.common import keeps, slices, small_batches, starts, whole_text, written
 from wayloom.llm.token_count import tokenizer
 
 WINDOW = 4096
-_IDS: dict[str, dict[str, bytes]] = {}
+_IDS: dict = {}
 _ENDS: dict[str, np.ndarray] = {}
-_MOST_CACHED = 500_000
+MOST_WORDS = 2_000_000
 keeps("packing", _IDS.clear)
-PIECE = re.compile(r"\w+|[^\w \t\n\r\x0b\x0c\x85\xa0]+")
-
-
-def pieces(text: str) -> list[str]:
-    """Parts of a text that may be encoded one by one, for a tokenizer whose pre-tokens hold no white space.
-
-    Parts between spaces and newlines always are. Where all characters are of Latin-1 (so that lower-casing and
-    normalising look at one character at a time), words and runs of other signs are as well, unless an apostrophe
-    (contractions), an underscore or the marks of special tokens might join the two.
-    """
-    if text.isascii() or _latin(text):
-        if "'" not in text and "_" not in text and "<|" not in text:
-            return PIECE.findall(text.lower())
-    return text.replace("\n", " ").split(" ")
+#: Kinds of bytes: white space, word (letters, digits and bytes beyond ASCII), sign.
+KIND = np.array([0 if c in (9, 10, 11, 12, 13, 32) else 1 if c >= 128 or chr(c).isalnum() else 2 for c in range(256)], np.uint8)
+#: Bytes that keep a text from being cut by bytes: apostrophe, underscore, all beyond the Latin letters of Latin-1.
+_JOINS = np.array([c in (0x27, 0x5F, 0xC2) or c >= 0xC4 for c in range(256)])
 
 
 def _latin(text: str) -> bool:
@@ -62,7 +52,7 @@ def _encoded(path: str, parts: list[str]) -> list[bytes]:
         _ENDS[path] = np.zeros(max(vocab.values(), default=0) + 1, bool)
         _ENDS[path][[i for w, i in vocab.items() if w.endswith("</w>")]] = True
     fast = getattr(tok, "encode_batch_fast", tok.encode_batch)
-    plain = [w for w in parts if w.isalpha() and (w.isascii() or _latin(w))]
+    plain = list(dict.fromkeys(w for w in parts if w.isalpha() and (w.isascii() or _latin(w))))
     ids = np.array(fast([" ".join(plain)], add_special_tokens=False)[0].ids if plain else [], "<u4")
     cuts = ((np.flatnonzero(_ENDS[path][ids]) + 1) * 4).tolist()
     out = dict.fromkeys(parts)
@@ -73,24 +63,90 @@ def _encoded(path: str, parts: list[str]) -> list[bytes]:
     rest = [w for w, v in out.items() if v is None]
     for w, e in zip(rest, fast(rest, add_special_tokens=False), strict=True):
         out[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-    return list(out.values())
-
-
-def word_ids(path: str, texts: list[str]) -> list[bytes]:
-    """The ids of each text, as little-endian unsigned 32-bit; each distinct part is encoded once and kept.
-
-    When too many are kept, those of these texts stay, which has the common ones.
+    return [out[w] for w in parts]
+
+
+class Kept:
+    """Ids of words by the words' 64-bit hashes: sorted arrays, new words in a small one that is merged now and then."""
+
+    def __init__(self):
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.tiers = [self._tier(), self._tier()]
+
+    @staticmethod
+    def _tier(key=(), start=(), size=()):
+        return np.array(key, np.uint64), np.array(start, np.int64), np.array(size, np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and number of ids of each key; a start of -1 is unknown."""
+        start, size = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
+        for known, starts_, sizes in self.tiers:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[at] == keys
+                start[hit], size[hit] = starts_[at[hit]], sizes[at[hit]]
+        return start, size
+
+    def add(self, keys: np.ndarray, ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Keep the ids of new keys, which are sorted."""
+        size = np.array([len(i) // 4 for i in ids], np.int64)
+        start = self.used + np.cumsum(size) - size
+        self.used += int(size.sum())
+        if self.used > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used - int(size.sum())], np.zeros(max(self.used, len(self.flat)), np.uint32)])
+        self.flat[self.used - int(size.sum()) : self.used] = np.frombuffer(b"".join(ids), "<u4")
+        self.tiers[1] = self._merged(self.tiers[1], (keys, start, size))
+        if len(self.tiers[1][0]) > 1 << 16:
+            self.tiers = [self._merged(*self.tiers), self._tier()]
+        return start, size
+
+    @staticmethod
+    def _merged(a, b):
+        order = np.argsort(key := np.concatenate([a[0], b[0]]), kind="stable")
+        return key[order], *(np.concatenate([x, y])[order] for x, y in zip(a[1:], b[1:], strict=True))
+
+
+def plain(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which texts can be cut by their bytes: ASCII and Latin letters (lead byte C3), without what might join two parts."""
+    before = np.concatenate([[0], data[:-1]]) if len(data) else data
+    odd = _JOINS[data] | ((before == 0xC3) & ((data == 0x97) | (data == 0xB7))) | ((before == 0x3C) & (data == 0x7C))
+    bad = np.concatenate([[0], np.cumsum(odd)])
+    return bad[offsets[1:]] == bad[offsets[:-1]]
+
+
+def word_ids(path: str, texts: pa.Array) -> list[bytes]:
+    """The ids of each text, as little-endian unsigned 32-bit; each distinct word is encoded once and kept.
+
+    Words are told apart by 64-bit hashes of their lower-case bytes.
     """
-    kept = _IDS.setdefault(path, {})
-    parts = [pieces(t) for t in texts]
-    now = set().union(*parts)
-    if len(kept) > _MOST_CACHED:
-        kept = _IDS[path] = {w: kept[w] for w in now if w in kept}
-    new = list(now.difference(kept))
-    for i in range(0, len(new), 4096):
-        some = new[i : i + 4096]
-        kept.update(zip(some, _encoded(path, some), strict=True))
-    return [b"".join(map(kept.__getitem__, p)) for p in parts]
+    data, offsets = hashing.utf8(texts)
+    fast = plain(data, offsets)
+    data = hashing.lower(data)
+    word, at, starts_, ends = hashing.segments(data, offsets, KIND)
+    here = np.repeat(fast, np.diff(at))  # other texts are encoded by themselves
+    word, starts_, ends, at = word[here], starts_[here], ends[here], np.concatenate([[0], np.cumsum(np.diff(at) * fast)])
+    keys, first, inverse = np.unique(word, return_index=True, return_inverse=True)
+    if path not in _IDS or len(_IDS[path].tiers[0][0]) > MOST_WORDS:
+        _IDS[path] = Kept()
+    kept = _IDS[path]
+    start, size = kept.find(keys)
+    new = np.flatnonzero(start < 0)
+    for k in range(0, len(new), 4096):
+        some = new[k : k + 4096]
+        raw = [data[a:b].tobytes().decode() for a, b in zip(starts_[first[some]], ends[first[some]], strict=True)]
+        start[some], size[some] = kept.add(keys[some], _encoded(path, raw))
+    per = size[inverse]
+    to = np.concatenate([[0], np.cumsum(per)])
+    ids = kept.flat[np.repeat(start[inverse] - to[:-1], per) + np.arange(to[-1])].astype("<u4").tobytes()
+    bounds = (4 * to[at]).tolist()
+    out = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    for i in np.flatnonzero(~fast):
+        out[i] = b"".join(_encoded(path, _parts(texts[int(i)].as_py() or "")))
+    return out
+
+
+def _parts(text: str) -> list[str]:
+    return text.replace("\n", " ").split(" ")
 
 
 def drops_space(path: str) -> bool:
@@ -100,10 +156,12 @@ def drops_space(path: str) -> bool:
     return probe == tok.encode("a", add_special_tokens=False).ids + tok.encode("b", add_special_tokens=False).ids
 
 
-def encode(path: str, texts: list[str]) -> list[bytes]:
+def encode(path: str, texts: pa.Array) -> list[bytes]:
+    """Ids of each text. For a tokenizer that drops white space, its pre-tokens hold none, so the ids of a text are those
+    of its parts between white space, and, where signs can't join them, between words and signs."""
     if drops_space(path):
         return word_ids(path, texts)
-    return [np.array(e.ids, "<u4").tobytes() for e in tokenizer(path).encode_batch(texts, add_special_tokens=False)]
+    return [np.array(e.ids, "<u4").tobytes() for e in tokenizer(path).encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
 
 
 def pack(docs: DataFrame, path: str, end_id: int = 2, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -117,7 +175,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, window: int = WINDOW, doc_
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
             for some in slices(batch, "text", 1 << 19):
-                ids = [x + end for x in encode(path, some.column(1).to_pylist())]
+                ids = [x + end for x in encode(path, some.column(1))]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 local = at + np.cumsum(n) - n
                 at += int(n.sum())
