@@ -180,3 +180,19 @@ def test_fuzz():
 
 def test_angles(spark):
     assert math.isclose(R.degrees_of(0.5), 60.0)
+
+
+def test_params_and_terrain():
+    b = Builder().put("IBffffI", M.PARAMS, 2, -18432, -30720, 21504, 30720, 4 << 24).raw(b"\0" * 16).bytes()
+    p = M.params(b)
+    assert (p["min_x"], p["min_y"], p["max_x"], p["max_y"], p["map_type"], p["has_water"]) == (-18432, -30720, 21504, 30720, 4, False)
+    with pytest.raises(BadData):
+        M.params(b"\0" + b[1:])
+    rng = random.Random(4)
+    blocks = [[rng.randint(-50, 50)] + [rng.choice([0, 0, 3])] * 15 for _ in range(128)]
+    t = M.terrain(M.write_terrain(64, 32, blocks))
+    assert (t["wide"], t["high"], len(t["heights"])) == (64, 32, 2048) and [t["heights"][k // 4 * 32 + k % 4] for k in range(16)] == M._inverse(blocks[0])
+    strip = Builder().put("IBI", M.PATH, 12, 0x71).put("BHff", 7, 1, 1.0, 2.0).put("BIBB", 14, 9, 0, M.END).bytes()
+    assert M.path_strip(strip) == {"sequence": 0x71, "start_points": [(1.0, 2.0)], "checksum": 9}
+    outline = Builder().put("II", 2, 1).put("BBBBfff", 1, 2, 0, 0, 1.0, 2.0, 3.0).bytes()
+    assert M.model_outline(M.container(2, [(0xBBA, outline)]))[0]["y"] == 2.0 and M.model_outline(b"x") == [] and M.model_outline(M.container(3, [])) == []

@@ -8,7 +8,8 @@ from wayloom.functions.binary import BadData, BitBuilder, Bits, Builder, Cursor,
 
 # fixed values: signatures, versions and tags of the file format
 MAGIC = b"ffna"
-FILE_REFS, PARAMS, PATH, MISSION, PROPS, TERRAIN, ZONES, ENVIRONMENT = 0x29939830, 0x59220329, 0xEEFE704C, 0x40010020, 0x59220330, 0x29398732, 0x59220337, 0x92991030
+FILE_REFS, PARAMS, PATH, MISSION, PROPS, TERRAIN, ZONES, ENVIRONMENT = 0x29939830, 0x5943EEEF, 0xEEFE704C, 0x40010020, 0x39583392, 0x87821134, 0x59220320, 0x92991030
+PATH_VERSION, SPACING = 12, 96
 KINDS = "Header EditorOld Terrain Zones Props Obsolete1 Water Mission Path Environment Locations Obsolete2 MapParameters Editor Collision Light Shore Sight Sound CubeMap VisData Occluders PathEngine".split()
 STAGES = {0x10: ("strip", False), 0x11: ("strip", True), 0x20: ("bloated", False), 0x21: ("bloated", True)}
 END = 0xFF
@@ -54,23 +55,25 @@ def file_refs(data: bytes) -> list[int]:
     return [(w0 - 0xFF00FF + w1 * 0xFF00) & NONE for w0, w1, _ in c.many(len(c.rest()) // 6 + bool(len(c.rest()) % 6), "HHH")]
 
 
-def params(data: bytes, signature: int | None = None) -> dict:
+def params(data: bytes) -> dict:
     """Bounds, flags, map type (0 counts as 1) and whether there is water."""
     c = Cursor(data)
-    if signature is not None:
-        c.expect("I", signature)
-        c.take("B")
-    else:
-        c.take("IB")
+    c.expect("I", PARAMS)
+    c.expect("B", 2, what="version")
     x0, y0, x1, y1, flags = c.take("ffffI")
     c.raw(16)
     return {"min_x": x0, "min_y": y0, "max_x": x1, "max_y": y1, "flags": flags, "map_type": max(flags >> 24, 1), "has_water": bool(flags & 1)}
 
 
+def _path_head(c: Cursor, version: str) -> int:
+    c.expect("I", PATH)
+    c.expect(version, PATH_VERSION, what="version")
+    return c.take("I")
+
+
 def path_strip(data: bytes) -> dict:
     c = Cursor(data)
-    c.take("IB")
-    sequence = c.take("I")
+    sequence = _path_head(c, "B")
     c.mark(7)
     points = c.many(c.take("H"), "ff")
     c.mark(14)
@@ -82,21 +85,20 @@ def path_strip(data: bytes) -> dict:
 
 def path_bloated(data: bytes) -> dict:
     c = Cursor(data)
-    c.take("II")
-    sequence = c.take("I")
+    sequence = _path_head(c, "I")
     s = c.section(7)[1]
     points = s.many(s.take("H"), "ff")
     body = c.section(8)[1].rest()
     s = c.section(12)[1]
     indices = s.many(s.take("H"), "H")
-    obstacles = c.section(13)[1].rest()
+    grid = c.section(13)[1].rest()
     checksum, mismatch = c.section(14)[1].take("IB")
     c.section(END)
-    return {"sequence": sequence, "start_points": points, "planes": body, "plane_indices": indices, "obstacles": obstacles, "checksum": checksum, "mismatch": bool(mismatch)}
+    return {"sequence": sequence, "start_points": points, "planes": body, "plane_indices": indices, "obstacles": grid, "checksum": checksum, "mismatch": bool(mismatch)}
 
 
-def write_path(strip: dict, planes: bytes, indices: list[int], obstacles: bytes, signature: int = PATH, version: int = 12) -> bytes:
-    out = Builder().put("III", signature, version, strip["sequence"])
+def write_path(strip: dict, planes: bytes, indices: list[int], obstacles: bytes) -> bytes:
+    out = Builder().put("III", PATH, PATH_VERSION, strip["sequence"])
     points = Builder().put("H", len(strip["start_points"]))
     for p in strip["start_points"]:
         points.put("ff", *p)
@@ -187,7 +189,7 @@ def mission(data: bytes) -> list[dict]:
 
 def props(data: bytes) -> list[dict]:
     c = Cursor(data)
-    c.take("I")
+    c.expect("I", PROPS)
     c.expect("B", 0x11, 0x12, what="version")
     c.mark(0)
     out = []
@@ -199,7 +201,8 @@ def props(data: bytes) -> list[dict]:
 
 def prop_collision(data: bytes) -> dict:
     c = Cursor(data)
-    c.take("IB")
+    c.expect("I", PROPS)
+    c.expect("B", 0x11, what="version")
     c.section(0)
     got = {}
     for tag, name, layout, size in ((1, "points", "fffIIHH", 24), (2, "plane_props", "H", 2), (3, "portal_points", "ff", 8)):
@@ -214,7 +217,7 @@ def prop_collision(data: bytes) -> dict:
 def zone_chunk(data: bytes) -> dict:
     """Definitions with their layers (stored a field at a time), prop models, polygons and unknown sections."""
     c = Cursor(data)
-    c.take("I")
+    c.expect("I", ZONES)
     out = {"version": c.take("B"), "sections": [], "defs": [], "prop_models": None, "atlas": None, "zones": [], "unknown": []}
     while True:
         at = c.at
@@ -248,7 +251,8 @@ def zone_chunk(data: bytes) -> dict:
 def environment(data: bytes) -> dict:
     """Lighting and water records; colours are stored blue first."""
     c = Cursor(data)
-    c.take("IH")
+    c.expect("I", ENVIRONMENT)
+    c.take("H")
     variant = c.take("H")
 
     def records(size):
@@ -300,7 +304,7 @@ def manifest(data: bytes) -> list[dict]:
     words = Cursor(data).many(len(data) // 4, "I")
     if not words or words[0]:
         raise BadData("bad header")
-    if words[-1] or len(words) == 1 and False:
+    if words[-1]:
         raise BadData("unterminated")
     out, record, at = {}, [], 1
     for k, w in enumerate(words[1:], 1):
@@ -394,3 +398,62 @@ def packed_bytes(data: bytes) -> tuple[list[int], int]:
     values = [bits.read(width) for _ in range(n)]
     bits.align()
     return values, bits.used
+
+
+def terrain(data: bytes, surface: bool = False) -> dict:
+    """Header and heights of a terrain chunk; with ``surface`` also textures, packed arrays, water mask and chunk grid."""
+    c = Cursor(data)
+    c.expect("I", TERRAIN)
+    c.expect("B", 0x11, what="version")
+    c.mark(0)
+    packed, angle, _, _, _ = c.take("IBHBB")
+    if packed & 0xC0 != 0x80 or packed >> 8 & 0xFF != SPACING:
+        raise BadData("terrain header")
+    wide, high = ((packed >> 24) + 1) * CHUNK, ((packed >> 16) + 1 & 0xFF) * CHUNK
+    c.mark(1)
+    z, used = heights(wide, high, c.rest())
+    c.raw(used)
+    out = {"wide": wide, "high": high, "angle": angle, "heights": z}
+    if surface:
+        c.mark(2)
+        out["textures"] = list(c.raw(wide * high))
+        for tag, name in ((4, "indices"), (5, "data")):
+            c.mark(tag)
+            out[name], used = packed_bytes(c.rest())
+            c.raw(used)
+        c.mark(3)
+        out["water"] = c.raw(wide * high // 4)
+        c.mark(7)
+        out["grid"] = []
+        for _ in range(wide // CHUNK * (high // CHUNK)):
+            body = c.raw(c.take("I"))
+            out["grid"].append({"data": body, "shadow": c.raw(0x80)})
+        out["shiny"] = None
+        if c.rest()[:1] == b"\x03":
+            c.mark(3)
+            out["shiny"] = c.take("Bffff")
+        c.mark(END)
+    return out
+
+
+def write_terrain(wide: int, high: int, blocks: list[list[int]]) -> bytes:
+    """A terrain chunk's header and heights."""
+    packed = 0x80 | SPACING << 8 | high // CHUNK - 1 << 16 | wide // CHUNK - 1 << 24
+    return Builder().put("IBBIBHBBB", TERRAIN, 0x11, 0, packed, 0, 0, 0, 0, 1).raw(write_heights(blocks)).bytes()
+
+
+def model_outline(data: bytes) -> list[dict]:
+    """The collision outline of a model file; files that are no models have none."""
+    if data[:4] != MAGIC or len(data) < 5 or data[4] != 2:
+        return []
+    found = {}
+    for part in chunks(data)[1]:
+        found.setdefault(part["chunk_id"], part["data"])
+    body = found.get(0xBBA, found.get(0xFA4))
+    if body is None or len(body) < 8:
+        return []
+    c = Cursor(body)
+    if c.take("I") != 2:
+        return []
+    names = ("plane", "flags", "portal", "portal_plane", "x", "y", "z")
+    return [dict(zip(names, p, strict=True)) for p in c.many(c.take("I"), "BBBBfff")]
