@@ -71,8 +71,8 @@ def bilinear(points: DataFrame, texels: DataFrame, wide: int, high: int, values:
     fx, fy = F.col("u") * wide - 0.5, F.col("v") * high - 0.5
     at = points.withColumns({"x0": F.floor(fx), "y0": F.floor(fy)}).withColumns({"ax": fx - F.col("x0"), "ay": fy - F.col("y0")})
     corner = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
-    four = at.withColumn("c", corner).withColumns({"tx": F.pmod(F.col("x0") + F.col("c.i"), F.lit(wide)), "ty": F.pmod(F.col("y0") + F.col("c.j"), F.lit(high))})
-    w = F.when(F.col("c.i") == 1, F.col("ax")).otherwise(1 - F.col("ax")) * F.when(F.col("c.j") == 1, F.col("ay")).otherwise(1 - F.col("ay"))
+    four = at.withColumn("__corner", corner).withColumns({"tx": F.pmod(F.col("x0") + F.col("__corner.i"), F.lit(wide)), "ty": F.pmod(F.col("y0") + F.col("__corner.j"), F.lit(high))})
+    w = F.when(F.col("__corner.i") == 1, F.col("ax")).otherwise(1 - F.col("ax")) * F.when(F.col("__corner.j") == 1, F.col("ay")).otherwise(1 - F.col("ay"))
     return four.join(texels, ["tx", "ty"]).groupBy("point_id").agg(*[F.sum(F.col(v) * w).alias(v) for v in values])
 
 
