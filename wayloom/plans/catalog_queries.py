@@ -30,7 +30,7 @@ def _zones(table):
 
 
 ZONES = """zones AS (SELECT c_custkey % 1000003 AS mapid, CASE WHEN c_nationkey % 2 = 0 THEN 'outpost' ELSE 'explorable' END AS instance, c_name AS name,
-  CASE WHEN c_nationkey % 7 = 0 THEN NULL WHEN c_nationkey % 7 = 1 THEN 0 ELSE c_custkey * 3 END AS mapfile, c_nationkey AS unknown FROM customer)"""
+  CASE WHEN c_nationkey % 7 = 0 THEN NULL WHEN c_nationkey % 7 = 1 THEN 0 ELSE c_custkey * 3 END AS mapfile, CAST(c_nationkey AS BIGINT) AS unknown FROM customer)"""
 
 
 def _incoming(zones):
@@ -132,7 +132,7 @@ def catalog_list(table):
     paths = C.paths_of(table("supplier").where("s_nationkey % 3 <> 0").select(F.col("s_nationkey").alias("k"), "s_name"), "k", "s_name")
     named = table("nation").where("n_nationkey % 4 <> 0").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))
     extra = C.unlisted(table("customer").select(F.col("c_nationkey").alias("k")).distinct(), named, "k")
-    return C.listing(named, extra, paths, "k").select("k", "name", F.array_join("zone_paths", "|").alias("zone_paths"), F.size("zone_paths").alias("n"))
+    return C.listing(named, extra, paths, "k").select("k", "name", F.array_join("zone_paths", "|").alias("zone_paths"), F.size("zone_paths").cast("bigint").alias("n"))
 
 
 @query("unlisted_items", "SELECT p_partkey, p_name FROM part WHERE p_size <> 13 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")

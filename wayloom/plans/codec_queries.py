@@ -59,7 +59,7 @@ def crc32_text(table):
     return table("documents").select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc"))
 
 
-@query("chunk_scan", "SELECT doc_id, 0 AS ord, 268435464 AS chunk_id, 'Path' AS kind, octet_length(encode(text)) AS length FROM documents UNION ALL SELECT doc_id, 1, 553648132, 'Props refs', octet_length(encode(lang)) FROM documents")
+@query("chunk_scan", "SELECT doc_id, 0::BIGINT AS ord, 268435464::BIGINT AS chunk_id, 'Path' AS kind, octet_length(encode(text)) AS length FROM documents UNION ALL SELECT doc_id, 1::BIGINT, 553648132::BIGINT, 'Props refs', octet_length(encode(lang)) FROM documents")
 def chunk_scan(table):
     """Containers written from chunk rows, scanned again and listed."""
     from wayloom.functions.mapfile import container
@@ -139,7 +139,7 @@ def obstacle_codec(table):
     return rows.mapInPandas(run, "id bigint, x double, y double, radius double")
 
 
-@query("sqlite_scan", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey IN (1, 3)")
+@query("sqlite_scan", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation WHERE n_regionkey IN (1, 3)")
 def sqlite_scan(table):
     """A foreign database made of nations (25 rows), read by the source with its filter pushed down."""
     import os
