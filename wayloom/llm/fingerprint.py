@@ -18,10 +18,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayloom.llm import hashing
@@ -95,15 +96,27 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
+def _bucket(cuts: list[int]) -> Column:
+    """How many cuts an id is above: counted among every so many cuts, then among those between two of them."""
+    if not cuts:
+        return F.lit(0)
+    step = math.isqrt(len(cuts)) or 1
+    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    longs = lambda xs: f"array({','.join(f'{c}L' for c in xs)})"
+    above = lambda xs: f"aggregate({xs}, 0, (n, c) -> n + int(coalesce(doc_id > c, false)))"
+    coarse = F.expr(above(longs([g[-1] for g in groups[:-1]]) if len(groups) > 1 else "cast(array() as array<bigint>)"))
+    fine = F.expr(above(f"element_at(array({','.join(map(longs, groups))}), 1 + {above(longs([g[-1] for g in groups[:-1]])) if len(groups) > 1 else 0})"))
+    return coarse * step + fine
+
+
 def _ordered(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Rows in buckets that hold ranges of ids, each followed by a copy of the next bucket's first row."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), whole_text(text).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = rows.select("doc_id")
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10_000).alias("q")).head()["q"] or []
-    cuts = sorted(set(cuts))
-    bucket = F.expr(f"aggregate(array({','.join(f'{c}L' for c in cuts)}), 0, (n, c) -> n + int(coalesce(doc_id > c, false)))") if cuts else F.lit(0)
+    cuts = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], max(10_000, 10 * parts)).alias("q")).head()["q"] or []
+    bucket = _bucket(sorted(set(cuts)))
     # one row per bucket: which bucket comes before it, and its first id
     heads = sorted(ids.withColumn("bucket", bucket).groupBy("bucket").agg(F.min("doc_id").alias("first")).collect(), key=lambda r: r["bucket"])
     if not heads:
