@@ -21,10 +21,15 @@ from wayloom.llm.common import scratch, whole_text, written
 
 SPACES = " \t\n\x0b\x0c\r"
 #: State in RocksDB, uploaded as changes, without reserving disk ahead: a store is small, and there is one a partition.
+#: All stores of an executor share a bounded memory, and are closed soon after their stream ends.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "2",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "5s",
 }
 #: Ids and files of hits up to this many rows (about 16 bytes each) are broadcast; beyond it they are shuffled.
 MOST_BROADCAST = 1_000_000
