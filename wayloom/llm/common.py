@@ -45,15 +45,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete written tables that no later plan reads."""
-    for table in tables:
-        for name in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
+def small_batches(spark: SparkSession, rows: int = 128) -> None:
     """Bound what one Arrow batch holds; texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
@@ -82,7 +74,7 @@ def whole_text(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Parts of ``batch`` whose ``column`` holds about ``most`` bytes each, one row at least."""
     values = batch.column(batch.schema.get_field_index(column))
     lengths = pa.compute.fill_null(pa.compute.binary_length(values), 0).to_pylist()
