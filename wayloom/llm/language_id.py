@@ -46,7 +46,12 @@ def _ids(word: str) -> np.ndarray:
     if found is None:
         if len(_GRAMS) >= _MOST_CACHED:
             _GRAMS.clear()
-        found = _GRAMS[word] = np.array([zlib.crc32(g.encode()) for g in grams(word)], np.uint64)
+        if word.isascii():  # the n-grams are slices of the bytes, in any order
+            w, crc, n = f"_{word}_".encode(), zlib.crc32, len(word) + 2
+            found = [crc(w[i : i + k]) for k in range(2, LONGEST + 1) for i in range(n - k + 1)] + [crc(w[i : i + 1]) for i in range(1, n - 1)]
+        else:
+            found = [zlib.crc32(g.encode()) for g in grams(word)]
+        found = _GRAMS[word] = np.array(found, np.uint64)
     return found
 
 
