@@ -14,7 +14,7 @@ from itertools import count
 
 import numpy as np
 
-TOL, EPS = 0.02, 1e-9
+TOL, EPS, ROW = 0.02, 1e-9, 16.0
 START_OFF, GOAL_OFF, UNREACHABLE = "StartOffMesh", "GoalOffMesh", "Unreachable"
 
 
@@ -46,6 +46,11 @@ class Mesh:
             to = self.at.get((to_plane, dst))
             if to is not None and (plane, idx) in self.at:
                 self.gates[self.at[plane, idx]].append(((ax, ay), (bx, by), to, edge))
+        self.planes = sorted({t[0] for t in self.traps}, reverse=True)
+        self.rows: dict = {}  # trapezoids by plane and stripe of heights, in order
+        for i, t in enumerate(self.traps):
+            for row in range(math.floor((t[3] - TOL) / ROW), math.floor((t[2] + TOL) / ROW) + 1):
+                self.rows.setdefault((t[0], row), []).append(i)
         self.bends = self._bends() if prune else None
 
     def _vertices(self, t):
@@ -81,12 +86,10 @@ class Mesh:
         return bl + (tl - bl) * f - tol <= p[0] <= br + (tr - br) * f + tol
 
     def locate(self, p, plane) -> int | None:
-        planes: dict = {}
-        for i, t in enumerate(self.traps):
-            planes.setdefault(t[0], []).append(i)
-        for k in [plane, *sorted((k for k in planes if k != plane), reverse=True)]:
+        row = math.floor(p[1] / ROW)
+        for k in [plane, *(k for k in self.planes if k != plane)]:
             for tol in (0.0, TOL):
-                hit = next((i for i in planes.get(k, ()) if self.holds(i, p, tol)), None)
+                hit = next((i for i in self.rows.get((k, row), ()) if self.holds(i, p, tol)), None)
                 if hit is not None:
                     return hit
         return None

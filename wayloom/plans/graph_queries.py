@@ -86,13 +86,13 @@ def gate_dijkstra(table):
 
 @query("shortest_path")
 def shortest_path(table):
-    """Routes over the mesh, each plane's rows of trapezoids joined by gates; one map for each residue of a key."""
-    traps = linked(table)
+    """A route for every supplier; each plane of the mesh is a map of its own."""
+    traps = linked(table).withColumn("map_id", F.col("plane"))
     gates = G.neighbour_gates(traps)
-    k = F.col("c_custkey")
-    asked = table("customer").where("c_custkey % 25 = 0").select(
-        F.lit(0).cast("bigint").alias("map_id"), k.alias("request_id"), ((k * 7919) % 245 + 2.0).alias("from_x"), ((k * 31) % 190 + 2.0).alias("from_y"), (k % 4).alias("from_plane"),
-        ((k * 104729) % 245 + 2.0).alias("to_x"), ((k * 17) % 190 + 2.0).alias("to_y"), (k % 4).alias("to_plane"),
+    k = F.col("s_suppkey")
+    asked = table("supplier").select(
+        (k % 4).alias("map_id"), k.alias("request_id"), ((k * 7919) % 245 + 2.0).alias("from_x"), ((k * 31) % 190 + 2.0).alias("from_y"), (k % 4).alias("from_plane"),
+        ((k * 7919 + k % 9) % 245 + 2.0).alias("to_x"), ((k * 17) % 190 + 2.0).alias("to_y"), (k % 4).alias("to_plane"),
     )
     out = G.shortest_paths(traps, gates, asked)
     return out.select("request_id", "error", F.round("length", 4).alias("length"), F.size("points").alias("n_points"))
