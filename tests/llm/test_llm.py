@@ -203,6 +203,26 @@ def test_near_duplicates_null_and_repeated_ids(spark):
     assert got == [(7, 7, 4), (7, 7, 4), (9, 7, 4), (None, 7, 4)]
 
 
+def test_block_pairs_finds_every_pair_that_shares_a_bucket(spark):
+    """Bytes of different registers agree now and then; the first shared bucket is told by its key."""
+    rng = random.Random(13)
+    texts = []
+    for _ in range(500):
+        base = prose(rng, 120).split()
+        other = list(base)
+        for k in (30, 60):
+            other[k] += "x"
+        texts += [" ".join(base), " ".join(other)]
+    table = docs(spark, texts).select("doc_id", "text")
+    dealt = near_dedup.sketch(table).select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key")).cache()
+    full = dealt.join(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key").withColumn("own", F.col("id"))
+    seen = near_dedup.signature_bytes(table)
+    got = [tuple(r) for r in near_dedup.block_pairs(full.join(seen, "id"), 0.5).collect()]
+    want = {tuple(r) for r in full.alias("x").join(full.alias("y"), "key").where("x.id < y.id").select("x.id", "y.id").distinct().collect()}
+    assert len(want) >= 490
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_probability_minhash_estimates():
     rng = np.random.default_rng(5)
     e = hashing.mix(np.arange(1, 400, dtype=np.uint64))
