@@ -134,20 +134,23 @@ def distances(edges: DataFrame, starts: DataFrame, most: int = 1_000_000) -> Dat
     return best
 
 
-def locate_in_dag(queries: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
-    """Walk point-location nodes set at a time, ``depth`` levels at most: ``query_id, trap`` (null where none is met).
+def locate_in_dag(queries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Walk point-location nodes set at a time, until no point is at an inner node: ``query_id, trap`` (null where none is met).
 
     ``nodes``: ``node, kind`` (x, y or sink), line ``ax, ay, bx, by`` or height ``y``, the next nodes ``low`` (left,
     below) and ``high``, and a sink's ``trap``. ``queries``: ``query_id, x, y, node`` (the root).
     """
-    at, done = queries, None
-    for _ in range(depth):
-        met = at.join(nodes.withColumnRenamed("y", "ny"), "node")
+    nodes = _kept(nodes.withColumnRenamed("y", "ny"))
+    at, done = queries.select("query_id", "x", "y", "node"), None
+    right = F.when(F.col("kind") == "y", F.col("y") >= F.col("ny")).otherwise((F.col("bx") - F.col("ax")) * (F.col("y") - F.col("ay")) - (F.col("by") - F.col("ay")) * (F.col("x") - F.col("ax")) <= 0)
+    for _ in range(nodes.count() + 1):
+        met = _kept(at.join(nodes, "node").select("query_id", "x", "y", "kind", "trap", F.when(right, F.col("high")).otherwise(F.col("low")).alias("node")))
         sink = met.where("kind = 'sink'").select("query_id", "trap")
         done = sink if done is None else done.unionByName(sink)
-        right = F.when(F.col("kind") == "y", F.col("y") >= F.col("ny")).otherwise((F.col("bx") - F.col("ax")) * (F.col("y") - F.col("ay")) - (F.col("by") - F.col("ay")) * (F.col("x") - F.col("ax")) <= 0)
-        at = met.where("kind <> 'sink'").select("query_id", "x", "y", F.when(right, F.col("high")).otherwise(F.col("low")).alias("node"))
-    return queries.select("query_id").join(done, "query_id", "left")
+        at = met.where("kind <> 'sink' and node is not null").select("query_id", "x", "y", "node")
+        if not at.head(1):
+            return queries.select("query_id").join(done, "query_id", "left")
+    raise ValueError("the nodes have a cycle")
 
 
 def shortest_paths(traps: DataFrame, gates: DataFrame, requests: DataFrame, prune: bool = True) -> DataFrame:

@@ -137,22 +137,47 @@ def dag_locate(table):
     """Points walked down a location tree of the first two rows of a plane, a level of nodes at a time."""
     from wayloom.operators.graph import locate_in_dag
 
+    k = F.col("c_custkey")
+    queries = table("customer").where("c_custkey < 300").select(k.alias("query_id"), ((k * 7919) % 25000 / 100).alias("x"), ((k * 31) % 2000 / 100 + 0.005).alias("y"), F.lit("0:root").alias("node"))
+    return locate_in_dag(queries, location_nodes(mesh(table).where("plane = 0 and idx < 200")))
+
+
+def location_nodes(traps):
+    """The nodes of each plane's location tree, from ``plane:root`` on; a point on a right side is outside."""
+
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        import math
+
         from wayloom.functions import meshgen
 
-        traps = []
+        traps, plane = [], pdf["plane"].iloc[0]
         for r in pdf.sort_values("idx").itertuples(index=False):
             t = {k: float(getattr(r, k)) for k in ("y_top", "y_bottom", "x_top_left", "x_top_right", "x_bottom_left", "x_bottom_right")}
             traps.append({**t, "idx": r.idx, "left": ((t["x_bottom_left"], t["y_bottom"]), (t["x_top_left"], t["y_top"])), "right": ((t["x_bottom_right"], t["y_bottom"]), (t["x_top_right"], t["y_top"]))})
         tree = meshgen.location_tree(traps)
-        name = lambda ref: None if ref is None else f"{ref[0]}{ref[1]}"
-        rows = [(f"x{k}", "x", *tree["vectors"][a], *tree["vectors"][b], None, name(lo), name(hi), None) for k, (a, b, lo, hi) in enumerate(tree["x_nodes"])]
-        rows += [(f"y{k}", "y", None, None, None, None, tree["vectors"][v][1], name(below), name(above), None) for k, (v, above, below) in enumerate(tree["y_nodes"])]
-        rows += [(f"sink{k}", "sink", None, None, None, None, None, None, None, traps[i]["idx"]) for k, i in enumerate(tree["sinks"])]
-        rows.append(("root", "y", None, None, None, None, -1e300, None, name(tree["root"]), None))
+        name = lambda ref: None if ref is None else f"{plane}:{ref[0]}{ref[1]}"
+        rows = [(name(("x", k)), "x", *tree["vectors"][a], *tree["vectors"][b], None, name(lo), name(hi), None) for k, (a, b, lo, hi) in enumerate(tree["x_nodes"])]
+        rows += [(name(("y", k)), "y", None, None, None, None, tree["vectors"][v][1], name(below), name(above), None) for k, (v, above, below) in enumerate(tree["y_nodes"])]
+        rows += [(name(("sink", k)), "sink", None, None, None, None, None, None, None, traps[i]["idx"]) for k, i in enumerate(tree["sinks"])]
+        low, high = tree["span"]
+        rows.append((f"{plane}:root", "y", None, None, None, None, low, None, f"{plane}:top", None))
+        rows.append((f"{plane}:top", "y", None, None, None, None, math.nextafter(high, math.inf), name(tree["root"]), None, None))
         return pd.DataFrame(rows, columns=["node", "kind", "ax", "ay", "bx", "by", "y", "low", "high", "trap"])
 
-    nodes = mesh(table).where("plane = 0 and idx < 200").groupBy("plane").applyInPandas(kernel, "node string, kind string, ax double, ay double, bx double, by double, y double, low string, high string, trap bigint")
+    return traps.groupBy("plane").applyInPandas(kernel, "node string, kind string, ax double, ay double, bx double, by double, y double, low string, high string, trap bigint")
+
+
+@query(
+    "dag_locate_all",
+    f"""WITH {MESH}, q AS (SELECT c_custkey AS query_id, c_custkey % 4 AS plane, (c_custkey * 7919 % 25000) / 100.0::DOUBLE AS x, (c_custkey * 31 % ((SELECT max(p_partkey) FROM part) // 100 * 1000 + 1000)) / 100.0::DOUBLE + 0.005 AS y FROM customer)
+SELECT q.query_id, m.idx AS trap FROM q LEFT JOIN (SELECT *, idx // 100 AS row FROM mesh) m ON m.plane = q.plane AND m.row = CAST(floor(q.y / 10) AS BIGINT) AND {inside('0').replace('(y ', '(q.y ').replace(' x ', ' q.x ').replace('q.x <=', 'q.x <')}""",
+)
+def dag_locate_all(table):
+    """Every customer's point walked down the location tree of its plane's whole mesh."""
+    from wayloom.operators.graph import locate_in_dag
+
     k = F.col("c_custkey")
-    queries = table("customer").where("c_custkey < 300").select(k.alias("query_id"), ((k * 7919) % 25000 / 100).alias("x"), ((k * 31) % 2000 / 100 + 0.005).alias("y"), F.lit("root").alias("node"))
-    return locate_in_dag(queries, nodes, 12)
+    height = table("part").agg((F.floor(F.max("p_partkey") / 100) * 1000 + 1000).alias("height"))
+    points = table("customer").crossJoin(F.broadcast(height))
+    queries = points.select(k.alias("query_id"), ((k * 7919) % 25000 / 100).alias("x"), ((k * 31) % F.col("height") / 100 + 0.005).alias("y"), F.concat((k % 4).cast("string"), F.lit(":root")).alias("node"))
+    return locate_in_dag(queries, location_nodes(mesh(table)))
