@@ -38,3 +38,9 @@ def test_dag_locate_all(spark, tmp_path):
         up, z = (y % 10) / 10, made[idx][1]
         want[k] = idx if z % 3 * up <= x % 10 < 9 - z % 2 * up else None
     assert got == want and max(v for v in got.values() if v is not None) > 3900
+
+
+def test_mesh_bloat_takes_all_parts(spark, tmp_path):
+    run = tables(spark, tmp_path, part=([(k, 1) for k in range(2500)], PART), region=([(k,) for k in range(5)], "r_regionkey bigint"))
+    got = {r.map_id: r for r in run("mesh_bloat")}
+    assert set(got) == set(range(25)) and all(r.n > 0 and r.bad == 0 for r in got.values())

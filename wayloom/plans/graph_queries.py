@@ -100,12 +100,12 @@ def shortest_path(table):
 
 @query("mesh_bloat")
 def mesh_bloat(table):
-    """Meshes of twenty maps whose heights come from parts; their sizes, areas and broken rules."""
+    """Meshes of maps whose heights come from a hundred parts each; their sizes, areas and broken rules."""
     from wayloom.operators.meshes import generate, invariants
 
     k = F.col("p_partkey")
-    m, i = F.floor(k / 100) % 20, k % 100
-    cells = table("part").where("p_partkey < 2000").select(m.alias("map_id"), (i % 10).alias("x"), F.floor(i / 10).alias("y"), (F.col("p_size") * (F.col("p_size") % 3 == 0).cast("int")).cast("double").alias("z"))
-    starts = table("region").crossJoin(F.broadcast(table("region").select(F.explode(F.sequence(F.lit(0), F.lit(19))).alias("map_id")).distinct())).select(F.col("map_id").cast("bigint"), (F.col("r_regionkey") * 2 + 0.25).alias("x"), (F.col("r_regionkey") + 1.25).alias("y"))
+    m, i = F.floor(k / 100), k % 100
+    cells = table("part").select(m.alias("map_id"), (i % 10).alias("x"), F.floor(i / 10).alias("y"), (F.col("p_size") * (F.col("p_size") % 3 == 0).cast("int")).cast("double").alias("z"))
+    starts = table("part").select(m.alias("map_id")).distinct().crossJoin(F.broadcast(table("region"))).select("map_id", (F.col("r_regionkey") * 2 + 0.25).alias("x"), (F.col("r_regionkey") + 1.25).alias("y"))
     out = invariants(generate(cells, starts, 10.0))
     return out.select("map_id", "n", F.round("area", 4).alias("area"), "bad")
