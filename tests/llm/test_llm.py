@@ -348,6 +348,12 @@ def test_fingerprint_is_homomorphic():
     assert f() == f("") == f(" ", "\t")
 
 
+def test_fingerprint_of_a_line_repeated_very_often():
+    line = "one two three four five"
+    (_, x), (_, y) = (fingerprint.vectors(["\n".join([line] * n)]) for n in (40_000, 32_000))
+    assert abs(fingerprint.likeness(x, y)[0] - 2 * 40 * 32 / (40**2 + 32**2)) < 1e-9
+
+
 def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
     rng = random.Random(8)
     texts = [prose(rng, rng.randint(0, 60)) for _ in range(40)] + ["", None, "x" * 90]

@@ -4,7 +4,7 @@ A paragraph is a line that has a word. Its vector has two parts, each added lane
 
 * ``LANES`` lanes of 32 bits, pseudo-random in all bits, expanded from the paragraph's hash. Texts with equal sums hold
   the same paragraphs equally often, in any order;
-* ``SKETCH`` lanes of 16 bits that are sparse: each run of ``WORDS`` words of the paragraph adds +1 or -1 to one lane.
+* ``SKETCH`` lanes of 32 bits that are sparse: each run of ``WORDS`` words of the paragraph adds +1 or -1 to one lane.
   Inner products of these parts estimate how many runs two texts share.
 
 The sum of a text is the sum of its paragraphs, so inserting (deleting) a paragraph adds (subtracts) its vector:
@@ -33,9 +33,9 @@ _SEEDS = hashing.mix(np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E37
 
 
 def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The two parts of each text's vector: (n, LANES) of uint32 and (n, SKETCH) of uint16."""
+    """The two parts of each text's vector: (n, LANES) of uint32 and (n, SKETCH) of uint32."""
     n = len(texts)
-    lanes, sketch = np.zeros((n, LANES), np.uint32), np.zeros((n, SKETCH), np.uint16)
+    lanes, sketch = np.zeros((n, LANES), np.uint32), np.zeros((n, SKETCH), np.uint32)
     lines = [x.split("\n") for x in texts]
     owner = np.repeat(np.arange(n), [len(x) for x in lines])
     data, offsets = hashing.utf8(pa.array([y for x in lines for y in x], pa.large_string()))
@@ -58,19 +58,19 @@ def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     lane = (runs % np.uint64(SKETCH)).astype(np.int64)
     sign = np.where(runs >> np.uint64(63), 1.0, -1.0)
     total = np.bincount(doc * SKETCH + lane, weights=sign, minlength=n * SKETCH).reshape(n, SKETCH)
-    sketch[:] = (total.astype(np.int64) & 0xFFFF).astype(np.uint16)
+    sketch[:] = (total.astype(np.int64) & 0xFFFFFFFF).astype(np.uint32)
     return lanes, sketch
 
 
 def encode(lanes: np.ndarray, sketch: np.ndarray) -> list[str]:
     """Fingerprints as text: the lanes in hex, a dot, the sketch in base 64."""
-    lanes, sketch = lanes.astype("<u4"), sketch.astype("<u2")
+    lanes, sketch = lanes.astype("<u4"), sketch.astype("<u4")
     return [f"{a.tobytes().hex()}.{base64.b64encode(b.tobytes()).decode()}" for a, b in zip(lanes, sketch, strict=True)]
 
 
 def decode(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     a, _, b = fingerprint.partition(".")
-    return np.frombuffer(bytes.fromhex(a), "<u4"), np.frombuffer(base64.b64decode(b), "<u2")
+    return np.frombuffer(bytes.fromhex(a), "<u4"), np.frombuffer(base64.b64decode(b), "<u4")
 
 
 def combine(fingerprint: str, added: tuple[str, ...] = (), deleted: tuple[str, ...] = ()) -> str:
@@ -84,7 +84,7 @@ def combine(fingerprint: str, added: tuple[str, ...] = (), deleted: tuple[str, .
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row, of sketch parts."""
-    a, b = a.astype(np.int16).astype(np.float64), b.astype(np.int16).astype(np.float64)
+    a, b = a.astype(np.int32).astype(np.float64), b.astype(np.int32).astype(np.float64)
     norm = (a * a).sum(1) + (b * b).sum(1)
     near = np.clip(2 * (a * b).sum(1) / np.where(norm > 0, norm, 1), 0, 1)
     return np.where((a == b).all(1), 1.0, near)
