@@ -94,7 +94,21 @@ def test_suffix_dedup(spark, seed, length, key, reach, every):
                 gone[i : i + length] = True
         runs = int((gone & ~np.concatenate([[False], gone[:-1]])[: len(gone)]).sum())
         want.append((len(b), int(gone.sum()), runs, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()))
-    got = suffix_dedup.suffix_dedup(docs(spark, texts), length=length, key=key, reach=reach, every=every)
+    window, where = 2 + seed, {}
+    spoken = [b.split() for b in data]
+    for k, w in enumerate(spoken):
+        for i in range(len(w) - window + 1):
+            where.setdefault(tuple(w[i : i + window]), set()).add(k)
+    for k, w in enumerate(spoken):
+        ends = -1
+        count = 0
+        for i in range(len(w) - window + 1):
+            if len(where[tuple(w[i : i + window])]) > 1:
+                count += i > ends
+                ends = i + window
+        want[k] += (count,)
+    assert sum(w[4] > 1 for w in want) > 3 and sum(w[4] == 0 for w in want) > 3
+    got = suffix_dedup.suffix_dedup(docs(spark, texts), length=length, key=key, reach=reach, every=every, window=window)
     assert [tuple(r)[1:] for r in sorted(got.collect())] == want
 
 

@@ -45,6 +45,22 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key with more than this share of a table's rows is heavy: there are fewer than 1 / HEAVY of them, whatever the table.
+HEAVY, SALTS = 1e-3, 32
+
+
+def heavy_join(many: DataFrame, one: DataFrame, on: str, heavy: DataFrame, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``one``, which has one row a key; rows of the keys in ``heavy`` are dealt over ``SALTS`` tasks.
+
+    ``heavy`` holds keys of more than the share ``HEAVY`` of ``many``, so it is under 1 / HEAVY rows and is broadcast.
+    """
+    marked = F.broadcast(heavy.select(F.col(on).alias("__key"), F.lit(SALTS).alias("__salts")))
+    own = lambda df: df.join(marked, F.col(on) == F.col("__key"), "left").withColumn("__salts", F.coalesce("__salts", F.lit(1))).drop("__key")
+    left = own(many).withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.col("__salts")).cast("int")).drop("__salts")
+    right = own(one).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1))).drop("__salts")
+    return left.join(right, [on, "__salt"], how).drop("__salt")
+
+
 def small_batches(spark: SparkSession, rows: int = 128) -> None:
     """Bound what one Arrow batch holds; texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -17,6 +17,9 @@ The order in which a suffix array would hold the suffixes isn't built: all that
 in ``LENGTH`` bytes, and grouping by 64-bit hashes gives that with sums before each shuffle, where a range sort would
 bring all copies of a suffix into one task. Whole equal texts are one class from the start.
 
+Beside the bytes, ``n_passages`` counts the maximal runs of over 50 words (``passages.WINDOW`` at least) of a document that
+another document holds too: such a run may have fewer than ``LENGTH`` bytes, and is then reported and not removed.
+
 Strings are compared by 64-bit polynomial hashes. Defined cases: null text is empty; shorter texts keep all; repeated
 rows and equal texts repeat each other wholly; null ids are returned as they are; an empty table gives an empty result;
 other columns are ignored.
@@ -31,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayloom.llm import hashing
-from wayloom.llm.common import slices, small_batches, whole_text, written
+from wayloom.llm import hashing, passages
+from wayloom.llm.common import HEAVY, heavy_join, slices, small_batches, whole_text, written
 
 LENGTH, KEY, REACH, K, EVERY, FINE, STEP = 400, 80, 320, 16, 64, 8, 32
 #: Lists of up to this many rows are broadcast; longer ones are shuffled.
@@ -158,8 +161,8 @@ def _lists(xs: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype(np.int32), pa.array(flat).cast(kind))
 
 
-def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, key: int = KEY, reach: int = REACH, every: int = EVERY, step: int = STEP) -> DataFrame:
-    """One row per input row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``."""
+def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, key: int = KEY, reach: int = REACH, every: int = EVERY, step: int = STEP, window: int = passages.WINDOW) -> DataFrame:
+    """One row per input row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages``."""
     if not K <= key <= length - reach:
         raise ValueError("a string with a trigger within reach must hold that trigger's key")
     small_batches(docs.sparkSession)
@@ -167,7 +170,8 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     source = source.withColumn("digest", F.unhex("sha"))
     base = written(source.select("doc_id", "digest", F.octet_length("text").cast("bigint").alias("n_bytes")), "ledger")
     classes = written(base.groupBy("digest").agg(F.min("doc_id").alias("one"), F.count(F.lit(1)).alias("copies"), F.first("n_bytes").alias("n_bytes")), "classes")
-    spare = base.select("doc_id", "digest").join(classes.where("copies > 1").select("digest", "one"), "digest").where("not (doc_id <=> one)")
+    heavy = classes.where(F.col("copies") > HEAVY * base.count()).select("digest")
+    spare = heavy_join(base.select("doc_id", "digest"), classes.where("copies > 1").select("digest", "one"), "digest", heavy).where("not (doc_id <=> one)")
     spare = written(spare.select(F.col("doc_id").alias("i"), F.col("digest").alias("d")).distinct(), "spare")
     texts = source.select("doc_id", "digest", "text")
     same = lambda i, d: F.col("digest").eqNullSafe(F.col(d)) & F.col("doc_id").eqNullSafe(F.col(i))
@@ -183,10 +187,15 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
                     *found, left = parse(own, length, key, reach, every)
                     out.append((*found, left, own.hashes(left, left + length)))
                 at, keys, near, far, after, left, hashes = zip(*out, strict=True)
+                word, words_at = hashing.words(data, offsets)
+                who, anchor, p_lo, p_hi = passages.anchors(word, words_at, window, min(window, passages.ANCHOR))
+                cut = np.searchsorted(who, np.arange(1, part.num_rows))
+                led = [_lists(np.split(x, cut), kind) for x, kind in ((anchor.view(np.int64), pa.int64()), (p_lo, pa.int32()), (p_hi, pa.int32()))]
                 lists = [_lists(at, pa.int32()), _lists([k.view(np.int64) for k in keys], pa.int64()), _lists(near, pa.int16()), _lists(far, pa.int16()), _lists(after, pa.int32()), _lists(left, pa.int32()), _lists([h.view(np.int64) for h in hashes], pa.int64())]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], ["one", "digest", "at", "key", "near", "far", "after", "bare_at", "bare_hash"])
+                lists += [*led, pa.array(np.diff(words_at), pa.int64())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], ["one", "digest", "at", "key", "near", "far", "after", "bare_at", "bare_hash", "anchor", "p_lo", "p_hi", "n_words"])
 
-    shape = "one bigint, digest binary, at array<int>, key array<bigint>, near array<smallint>, far array<smallint>, after array<int>, bare_at array<int>, bare_hash array<bigint>"
+    shape = "one bigint, digest binary, at array<int>, key array<bigint>, near array<smallint>, far array<smallint>, after array<int>, bare_at array<int>, bare_hash array<bigint>, anchor array<bigint>, p_lo array<int>, p_hi array<int>, n_words bigint"
     parsed = written(single_texts.mapInArrow(tell_parse, shape).withColumn("c", F.monotonically_increasing_id()), "parse")
     if parsed.groupBy("digest").count().where("count > 1").head(1):  # repeated rows
         parsed = written(parsed.dropDuplicates(["digest"]), "parse")
@@ -206,10 +215,19 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
             lists = [_lists([o[k] for o in out], pa.int32()) for k in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["c", "at", "near", "far"])
 
-    led = written(kept.mapInArrow(tell_leads, "c bigint, at array<int>, near array<int>, far array<int>").where("size(at) > 0").join(named, "c"), "leads")
+    # runs of words whose anchor two texts have
+    shared = parsed.select("c", F.explode("anchor").alias("anchor")).groupBy("anchor").agg(F.min("c").alias("one"), F.max("c").alias("two")).where("one < two").select("anchor")
+    shared = written(shared, "anchors")
+    runs = parsed.select("c", F.explode(F.arrays_zip("anchor", "p_lo", "p_hi")).alias("x")).select("c", "x.anchor", "x.p_lo", "x.p_hi").join(_some(shared.count(), shared), "anchor")
+    runs = runs.groupBy("c").agg(F.collect_list(F.struct("anchor", "p_lo", "p_hi")).alias("runs"))
+
+    led = kept.mapInArrow(tell_leads, "c bigint, at array<int>, near array<int>, far array<int>").where("size(at) > 0").join(runs, "c", "full_outer")
+    none = F.array().cast("array<int>")
+    led = led.select("c", *[F.coalesce(k, none).alias(k) for k in ("at", "near", "far")], F.coalesce("runs", F.array().cast("array<struct<anchor:bigint,p_lo:int,p_hi:int>>")).alias("runs"))
+    led = written(led.join(named, "c"), "leads")
     n_led = led.count()
     wanted = led.select(F.col("one").alias("i"), F.col("digest").alias("d"))
-    part = texts.join(_some(n_led, wanted), same("i", "d"), "left_semi").select("digest", "text").hint("merge").join(led, "digest").select("c", "text", "at", "near", "far")
+    part = texts.join(_some(n_led, wanted), same("i", "d"), "left_semi").select("digest", "text").hint("merge").join(led, "digest").select("c", "text", "at", "near", "far", "runs")
     part = written(part.dropDuplicates(["c"]) if spare.head(1) and part.groupBy("c").count().where("count > 1").head(1) else part, "repetitive")
 
     def cores(near):
@@ -233,7 +251,8 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], ["c", "j", "lo", "hi", "hull", "core"])
 
     # 2. parse suffixes: each distinct hull with its count
-    hulls = written(part.mapInArrow(tell_hulls, "c bigint, j bigint, lo bigint, hi bigint, hull bigint, core bigint"), "hulls")
+    lists = part.select("c", "text", "at", "near", "far").where("size(at) > 0")
+    hulls = written(lists.mapInArrow(tell_hulls, "c bigint, j bigint, lo bigint, hi bigint, hull bigint, core bigint"), "hulls")
     distinct = written(hulls.groupBy("hull").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("c", "j")).alias("at"), F.min("core").alias("core")), "suffixes")
     settled = hulls.join(distinct.where("n > 1").select("hull"), "hull").select("c", "lo", "hi")
 
@@ -259,7 +278,7 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
                 c, s, alone, h = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(s.astype(np.int32)), pa.array(alone.astype(bool)), pa.array(h)], ["c", "s", "alone", "string"])
 
-    ends = part.join(open_, "c").select("c", "text", "at", "near", "far", "hs").mapInArrow(tell_strings, "c bigint, s int, alone boolean, string bigint")
+    ends = lists.join(open_, "c").select("c", "text", "at", "near", "far", "hs").mapInArrow(tell_strings, "c bigint, s int, alone boolean, string bigint")
     # 4. strings without a trigger near
     bare_ = parsed.select("c", F.explode(F.arrays_zip("bare_at", "bare_hash")).alias("x")).select("c", F.col("x.bare_at").alias("s"), F.lit(True).alias("alone"), F.col("x.bare_hash").alias("string"))
     strings = written(ends.unionByName(bare_), "strings")
@@ -293,9 +312,68 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     full = classes.where(f"copies > 1 and n_bytes >= {length}").select("digest", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"), F.lit(EMPTY_SHA).alias("kept_sha256"))
     result = written(done.unionByName(full), "removed")
 
-    out = base.hint("merge").join(result, "digest", "left")
-    zero = F.lit(0).cast("bigint")
-    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", F.lower(F.hex("digest"))).alias("kept_sha256"))
+    # whole copies are one passage each
+    told = _passages(part, named, window).join(classes.where("copies = 1").select("digest"), "digest", "left_semi")
+    copies = parsed.where(F.col("n_words") >= window).select("digest", F.lit(1).cast("bigint").alias("n_passages")).join(classes.where("copies > 1").select("digest"), "digest", "left_semi")
+    result = written(result.join(told.unionByName(copies), "digest", "full_outer"), "reported")
+    out = heavy_join(base, result, "digest", heavy, "left")
+    count = lambda x: F.coalesce(x, F.lit(0).cast("bigint")).alias(x)
+    return out.select("doc_id", "n_bytes", count("n_removed"), count("n_spans"), F.coalesce("kept_sha256", F.lower(F.hex("digest"))).alias("kept_sha256"), count("n_passages"))
+
+
+def _passages(part: DataFrame, named: DataFrame, window: int) -> DataFrame:
+    """``digest, n_passages`` of the texts that share a run of ``window`` words with another text.
+
+    Runs of one anchor that lie together are a hull. Equal hulls are one entry; one that two texts have settles its runs.
+    The runs of hulls that one text has are held against those of one copy of each other hull of the same anchor.
+    """
+
+    def words_of(some):
+        data, offsets = hashing.utf8(some.column(1))
+        word, at = hashing.words(data, offsets)
+        return [passages.Words(word[at[i] : at[i + 1]]) for i in range(some.num_rows)]
+
+    def tell_hulls(batches):
+        for batch in batches:
+            for some in slices(batch, "text"):
+                out = []
+                for i, own in enumerate(words_of(some)):
+                    rs = some.column(2)[i].values
+                    anchor, lo, hi = (rs.field(k).to_numpy().astype(np.int64) for k in range(3))
+                    out.append((np.full(len(lo), some.column(0)[i].as_py()), anchor, own.hashes(lo, hi + window).view(np.int64), lo, hi))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], ["c", "anchor", "hull", "lo", "hi"])
+
+    held = part.where("size(runs) > 0")
+    hulls = written(held.select("c", "text", "runs").mapInArrow(tell_hulls, "c bigint, anchor bigint, hull bigint, lo bigint, hi bigint"), "word-hulls")
+    distinct = hulls.groupBy("anchor", "hull").agg(F.min(F.struct("c", "lo", "hi")).alias("at"), F.max("c").alias("last"))
+    distinct = written(distinct.withColumn("alone", F.col("at.c") == F.col("last")), "word-hulls-distinct")
+    settled = hulls.join(distinct.where("not alone").select("anchor", "hull"), ["anchor", "hull"]).select("c", "lo", "hi")
+    mixed = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("hulls"), F.max("alone").alias("some")).where("hulls > 1 and some").select("anchor")
+    open_ = distinct.join(mixed, "anchor").select(F.col("at.c").alias("c"), F.struct("at.lo", "at.hi", "anchor", "last").alias("h")).groupBy("c").agg(F.collect_list("h").alias("hs"))
+
+    def tell_runs(batches):
+        for batch in batches:
+            for some in slices(batch, "text"):
+                out = []
+                for i, own in enumerate(words_of(some)):
+                    hs = some.column(2)[i].values
+                    lo, hi, anchor, last = (hs.field(k).to_numpy().astype(np.int64) for k in range(4))
+                    s = _ranges(lo, hi)
+                    n = hi - lo + 1
+                    out.append((np.full(len(s), some.column(0)[i].as_py()), s, np.repeat(last, n), np.repeat(anchor, n), own.hashes(s, s + window).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], ["c", "s", "last", "anchor", "run"])
+
+    strings = written(held.join(open_, "c").select("c", "text", "hs").mapInArrow(tell_runs, "c bigint, s bigint, last bigint, anchor bigint, run bigint"), "word-runs")
+    again = strings.groupBy("anchor", "run").agg(F.min("c").alias("first"), F.max("last").alias("final")).where("first < final").select("anchor", "run")
+    single = strings.where("c = last").hint("merge").join(again, ["anchor", "run"]).select("c", F.col("s").alias("lo"), F.col("s").alias("hi"))
+
+    def count(batches):
+        for batch in batches:
+            n = [passages.runs([(r["lo"], r["hi"]) for r in rs], window) for rs in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["digest", "n_passages"])
+
+    starts = settled.unionByName(single).groupBy("c").agg(F.collect_list(F.struct("lo", "hi")).alias("rs")).join(named, "c")
+    return starts.select("digest", "rs").mapInArrow(count, "digest binary, n_passages bigint")
 
 
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
