@@ -2,22 +2,27 @@
 
 A scanner cuts the page into blocks at block-level tags and notes, for each, its text, its share of link text, whether
 it is a heading, and where it stands: under an element that is never main text (menus, footers, forms, scripts, adverts,
-notices, comments ...), under ``article``/``main``, or neither.
+notices, comments ...), which is left out, or under ``article``/``main``.
 
 * Pass 1 decides by stop-word density, length and link density: long blocks of connected text are main text, blocks of
-  links or without stop words are not, and short or middling ones stay undecided. Blocks that stand under a marked
-  article are main text, but for lists of links; if the page has such blocks, those outside are not.
-* Pass 2 gives each undecided block the label of its nearest decided neighbours; if they differ, or there is none, main
-  text wins for a middling block and the other label for a short one. A heading takes the label of what follows it.
+  links or of a rights notice are not, all others stay undecided. ``article``/``main`` is a feature beside these: where
+  the blocks under it hold most of the page's text that is no link, they need less to be decided as main text, and blocks
+  outside are not main text. A page that marks a small part of its text so is read as if it had no such mark.
+* Pass 2 gives each undecided block the label of the nearest decided neighbour. If both are as near and differ, main text
+  wins for a middling block and the other label for a short one; a middling block without links is left out only between
+  two blocks that are. A heading takes the label of what follows it. A page without a decided block is main text.
 
 Defined cases: null or empty html gives an empty text; broken markup never fails (unclosed elements end with the page,
-stray end tags are passed over, an unclosed comment or script takes the rest of the page); other columns are ignored.
+stray end tags are passed over, an unclosed comment or script takes the rest of the page); elements may be nested to any
+depth and pages of any length are read whole; repeated rows and pages give a row each; null ids and urls are returned as
+they are; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +33,7 @@ from wayloom.llm.common import slices, small_batches
 TAG = re.compile(r"<!--|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>")
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+WORD = re.compile(r"[^\W\d_]+")
 
 # fixed values: the elements of HTML by kind
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
@@ -54,16 +60,18 @@ STOP = frozenset(
     "di che il e per non sono della con una del da nel si al het een van dat op te zijn voor met niet o os do da em um uma não".split()
 )
 
-#: Pass 1: links share, lengths in characters, stop-word densities.
-LINKS, SHORT, LONG, FEW, MANY = 0.3, 70, 200, 0.12, 0.25
+# fixed values: words of rights notices
+RIGHTS = re.compile(r"©|\(c\)\s|copyright\b|all rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos", re.I)
+#: Pass 1: links share (and that of a block under a trusted mark), lengths in characters, stop-word densities.
+LINKS, LINKS_MARKED, SHORT, LONG, FEW, MANY = 0.3, 0.9, 70, 200, 0.12, 0.25
 GOOD, BAD, MIDDLING, BRIEF = "good", "bad", "middling", "brief"
 
 
 class Block:
-    __slots__ = ("main", "away", "heading", "pieces", "linked", "list_item", "text")
+    __slots__ = ("main", "heading", "pieces", "linked", "list_item", "text")
 
-    def __init__(self, main: bool, away: bool, heading: bool, list_item: bool):
-        self.main, self.away, self.heading, self.list_item, self.pieces, self.linked, self.text = main, away, heading, list_item, [], 0, ""
+    def __init__(self, main: bool, heading: bool, list_item: bool):
+        self.main, self.heading, self.list_item, self.pieces, self.linked, self.text = main, heading, list_item, [], 0, ""
 
 
 def _away(tag: str, attributes: str, in_main: bool) -> bool:
@@ -88,20 +96,21 @@ def _away(tag: str, attributes: str, in_main: bool) -> bool:
 def blocks(page: str) -> list[Block]:
     """The blocks of a page that have text, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool, bool]] = []  # tag, away, main, link, list item
+    stack: list[tuple[str, bool, bool, bool, bool, bool]] = []  # tag, away, main, link, list item, heading
+    open_: Counter[str] = Counter()  # how many elements of a tag are open
     now = None
     at, n = 0, len(page)
 
     def state():
-        return stack[-1] if stack else ("", False, False, False, False)
+        return stack[-1] if stack else ("", False, False, False, False, False)
 
     def add(raw: str):
         nonlocal now
-        _, away, main, link, item = state()
+        _, away, main, link, item, heading = state()
         if away:
             return
         if now is None:
-            now = Block(main, away, any(s[0] in HEADINGS for s in stack[-4:]), item)
+            now = Block(main, heading, item)
             out.append(now)
         text = html.unescape(raw) if "&" in raw else raw
         now.pieces.append(text)
@@ -110,9 +119,11 @@ def blocks(page: str) -> list[Block]:
 
     def close(to: int):
         nonlocal now
-        if any(s[0] in BLOCKS or s[1] for s in stack[to:]):
-            now = None
-        del stack[to:]
+        while len(stack) > to:
+            tag, away, *_ = stack.pop()
+            open_[tag] -= 1
+            if away or tag in BLOCKS:
+                now = None
 
     while at < n:
         m = TAG.search(page, at)
@@ -130,10 +141,11 @@ def blocks(page: str) -> list[Block]:
         if not tag:
             continue
         if m[1] or m[4]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
+            if open_[tag]:
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
+                close(k)
             if tag in BLOCKS:
                 now = None
             continue
@@ -143,14 +155,14 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in BLOCKS:
             now = None
-            for k in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph
+            for k in range(len(stack) - 1, -1, -1) if open_["p"] else ():  # a block ends an open paragraph
                 if stack[k][0] == "p":
                     close(k)
                     break
                 if stack[k][0] in BLOCKS:
                     break
         if tag in CLOSED_BY:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if any(open_[x] for x in CLOSED_BY[tag]) else ():
                 if stack[k][0] in CLOSED_BY[tag]:
                     close(k)
                     break
@@ -158,65 +170,69 @@ def blocks(page: str) -> list[Block]:
                     break
         if tag in VOID or attributes.endswith("/") and tag in ("svg", "path"):
             continue
-        _, away, main, link, item = state()
+        _, away, main, link, item, heading = state()
         away_now = away or _away(tag, attributes, main)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = n if end is None else end.end()
             continue
-        if len(stack) < 2000:
-            stack.append((tag, away_now, main or tag in MAIN, link or tag == "a", tag == "li" or item and tag not in SCOPES))
+        heading = tag in HEADINGS or heading and tag not in BLOCKS
+        stack.append((tag, away_now, main or tag in MAIN, link or tag == "a", tag == "li" or item and tag not in SCOPES, heading))
+        open_[tag] += 1
     for b in out:
         b.text = " ".join("".join(b.pieces).split())
     return [b for b in out if b.text]
 
 
+def density(text: str) -> float:
+    """The share of stop words among the words, signs around and inside words aside."""
+    words = WORD.findall(text.lower())
+    return sum(w in STOP for w in words) / len(words) if words else 0.0
+
+
 def first_pass(found: list[Block]) -> list[str]:
-    marked = any(b.main for b in found)
+    plain = [len(b.text) - b.linked for b in found]
+    inside = sum(n for b, n in zip(found, plain, strict=True) if b.main)
+    trusted = inside > sum(plain) - inside
     labels = []
     for b in found:
+        marked = trusted and b.main
         links = b.linked / len(b.text)
-        if b.main:
-            labels.append(BAD if b.list_item and links > 0.9 else GOOD)
-        elif marked:
+        if links > (LINKS_MARKED if marked and not b.list_item else LINKS) or trusted and not marked:
             labels.append(BAD)
+        elif len(b.text) < SHORT:
+            labels.append(BAD if RIGHTS.search(b.text) and not marked else BRIEF)
+        elif density(b.text) >= (FEW if marked else MANY) and len(b.text) >= (SHORT if marked else LONG):
+            labels.append(GOOD)
         else:
-            words = b.text.lower().split()
-            stop = sum(w.strip(".,;:!?\"'()") in STOP for w in words) / len(words)
-            if links > LINKS:
-                labels.append(BAD)
-            elif len(b.text) < SHORT:
-                labels.append(BRIEF)
-            elif stop >= MANY:
-                labels.append(GOOD if len(b.text) >= LONG else MIDDLING)
-            elif stop >= FEW:
-                labels.append(MIDDLING)
-            else:
-                labels.append(BAD)
+            labels.append(BAD if len(b.text) < LONG and RIGHTS.search(b.text) and not marked else MIDDLING)
     return labels
 
 
 def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
     n = len(labels)
-    before, after = [None] * n, [None] * n
-    last = None
+    before, after = [-1] * n, [-1] * n  # the nearest decided blocks
+    last = -1
     for i in range(n):
         before[i] = last
-        last = labels[i] if labels[i] in (GOOD, BAD) else last
-    last = None
+        last = i if labels[i] in (GOOD, BAD) else last
+    last = -1
     for i in range(n - 1, -1, -1):
         after[i] = last
-        last = labels[i] if labels[i] in (GOOD, BAD) else last
+        last = i if labels[i] in (GOOD, BAD) else last
     out = []
     for i, label in enumerate(labels):
+        b, a = before[i], after[i]
         if label in (GOOD, BAD):
             out.append(label == GOOD)
-        elif found[i].heading and after[i]:
-            out.append(after[i] == GOOD)
-        elif before[i] == after[i] and before[i]:
-            out.append(before[i] == GOOD)
-        elif before[i] is None and after[i] is None:
+        elif label == MIDDLING and not found[i].linked:
+            out.append(not (b >= 0 and a >= 0 and labels[a] == labels[b] == BAD))
+        elif b < 0 and a < 0:
             out.append(True)
+        elif b < 0 or a >= 0 and (found[i].heading or labels[a] == labels[b] or a - i < i - b):
+            out.append(labels[a] == GOOD)
+        elif a < 0 or i - b < a - i:
+            out.append(labels[b] == GOOD)
         else:
             out.append(label == MIDDLING)
     return out
