@@ -391,17 +391,45 @@ def test_mixing(spark):
     assert mixing.mix(df, mixing.label_domains(df, labels.limit(0))).count() == 403
 
 
-def test_projected_gradient_is_least_squares():
-    rng = np.random.default_rng(1)
-    p = rng.dirichlet([0.3, 0.3, 0.3], 500)
-    t = rng.integers(1, 100, 500).astype(float)
-    natural = t @ p
-    share, want = natural / natural.sum(), np.array([0.6, 0.3, 0.1]) * 0.9
-    history, now = [], share
-    for _ in range(400):
-        history.append((now - want) / share)
-        now = (t * mixing.rate_of(p, history)) @ p / natural.sum()
-    assert np.abs(now - want).max() < 5e-3 and (mixing.rate_of(p, history) >= 0).all()
+@pytest.mark.parametrize("seed, goal", [(1, (0.6, 0.3, 0.1)), (2, (0.97, 0.03, 0.0)), (3, (0.05, 0.05, 0.9))])
+def test_rates_are_nonnegative_least_squares(spark, seed, goal):
+    """Against coordinate descent on the whole problem, one rate after the other."""
+    rng = np.random.default_rng(seed)
+    p, t = rng.dirichlet([0.3, 0.3, 0.3], 150), rng.integers(1, 100, 150).astype(float)
+    ridge, w = 1e-2, t / t.sum()
+    share = w @ p
+    k = int(np.argmax(goal))
+    want = np.array(goal) * share[k] / goal[k]
+    r, m = np.ones(150), share.copy()
+    for _ in range(3000):
+        for d in range(150):
+            slope = w[d] * ((m - want) / share) @ p[d] + ridge * w[d] * (r[d] - 1)
+            new = max(0.0, r[d] - slope / (w[d] ** 2 * (p[d] ** 2 / share).sum() + ridge * w[d]))
+            m += (new - r[d]) * w[d] * p[d]
+            r[d] = new
+    df = spark.createDataFrame([(i, int(t[i]), [float(x) for x in p[i]]) for i in range(150)], "doc_id bigint, n_tokens bigint, p array<double>").repartition(3)
+    fitted = mixing.fit(df, goal, ridge=ridge)
+    assert np.abs(fitted.rates(p) - r).max() < 1e-6 and fitted.miss < 1e-8 and (r == 0).any()
+    assert np.abs(fitted.weights - m / m.sum()).max() < 1e-8
+
+
+def test_mixing_draws_by_the_rate(spark):
+    got = spark.range(20000).select(mixing.drawn(F.lit(0.3), F.col("id")).alias("a"), mixing.drawn(F.lit(1.0), F.col("id")).alias("b"), mixing.drawn(F.lit(0.0), F.col("id")).alias("c")).agg(*[F.avg(F.col(x).cast("int")) for x in "abc"]).head()
+    assert abs(got[0] - 0.3) < 0.02 and got[1] == 1 and got[2] == 0
+
+
+def test_mixing_of_repeats_and_clashing_columns(spark):
+    rng = random.Random(14)
+    kinds = [rng.choice(["clean", "poor"]) for _ in range(120)]
+    rows = [(i, prose(rng, 30) if k == "clean" else " | ".join(rng.choice(WORDS) for _ in range(30)), "x", 1.5, "y") for i, k in enumerate(kinds)]
+    df = spark.createDataFrame(rows + rows[:10] * 3 + [(7, "the of " * 60000, "x", 1.0, "y")], "doc_id bigint, text string, p string, rate double, domain string")
+    labels = spark.createDataFrame([(i, int(k == "clean"), 0) for i, k in enumerate(kinds)] * 2 + [(None, None, None)], "doc_id bigint, quality int, toxic int")
+    assert mixing.label_domains(df, labels).count() == 120
+    got = mixing.mix(df, mixing.label_domains(df, labels), targets=(0.5, 0.5, 0)).collect()
+    assert len(got) == 151 and max(r.n_tokens for r in got) == 120000
+    out = mixing.mixed(df, labels)
+    assert out.columns == df.columns and 0 < out.count() <= 151
+    assert mixing.mixed(df.limit(0), labels).count() == 0
 
 
 # ---- fingerprints
