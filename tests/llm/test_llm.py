@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from html.parser import HTMLParser
@@ -60,6 +61,14 @@ def test_chat_parts(spark):
     assert r.formatted.endswith("see <\\image><image><document></s>")
 
 
+def test_chat_of_very_many_turns(spark):
+    said = [(7, i, ("user", "assistant")[i % 2], f"turn {i} <s> é") for i in range(20000)]
+    df = spark.createDataFrame(said, "conv_id bigint, turn bigint, role string, text string").withColumn("content", chat_format.text_parts(F.col("text")))
+    r = chat_format.digests(chat_format.format_chats(df)).head()
+    loss = "".join(t for *_, role, t in said if role == "assistant")
+    assert (r.n_turns, r.loss_chars, r.loss_sha256) == (20000, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
 # ---- exact dedup
 @pytest.mark.parametrize("weak", [False, True])
 def test_exact_dedup(spark, weak):
@@ -160,6 +169,25 @@ def test_word_cache_is_the_tokenizer():
     assert packing.encode(path, pa.array(texts)) == [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
+def test_other_tokenizers_go_to_the_library(tmp_path):
+    """A cased tokenizer that splits at white space: no words are lower-cased or put together."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    made = Tokenizer(models.BPE(vocab={"a": 0, "b": 1, "A": 2, "B": 3, "ab": 4}, merges=[("a", "b")]))
+    made.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    path = str(tmp_path / "small.json")
+    made.save(path)
+    assert not packing.by_words(path) and packing.by_words(public_tokenizers.path("word_bpe_49k.json")) and not packing.by_words(public_tokenizers.path("byte_bpe_50k.json"))
+    assert packing.encode(path, pa.array(["AB ab", None])) == [np.array([2, 3, 4], "<u4").tobytes(), b""]
+
+
+def test_packing_of_long_texts_and_repeats(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["road of trees " * 40000, "a b", "a b", None]
+    got = packing.pack(docs(spark, texts, [1, 2, 2, None]), path).collect()
+    assert sum(r.length for r in got if r.doc_id == 1) == 120001 and sorted(r.length for r in got if r.doc_id == 2) == [3, 3] and [r.length for r in got if r.doc_id is None] == [1]
+
+
 def test_token_counts(spark):
     rng = random.Random(2)
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -372,6 +400,42 @@ def test_language(spark):
     assert learned.predict(text)[2] == pytest.approx(min(far))
 
 
+def test_language_by_its_definition(spark):
+    """Profiles, distances and predictions by counting n-grams one by one."""
+    rng = random.Random(21)
+    made = [(i, " ".join(rng.choice(TONGUES[lang]).title() for _ in range(rng.randint(1, 40))) + rng.choice(["", " ½ x²y Ⅻ 12é"]), lang) for i in range(120) for lang in [rng.choice(list(TONGUES))]]
+    made += made[:5] + [(500, "½ ² Ⅻ 7 _", "aa"), (501, "the of " * 50000, "aa")]
+    df = spark.createDataFrame([(*r, "x", 0.5) for r in made], "doc_id bigint, text string, lang string, lang_pred string, score double")
+
+    def counted(text):
+        word, out = "", Counter()
+        for c in text.lower() + " ":
+            if unicodedata.category(c)[0] == "L":
+                word += c
+            elif word:
+                w = f"_{word}_"
+                out.update(w[i : i + n] for n in (1, 2, 3) for i in range(len(w) - n + 1) if w[i : i + n] != "_")
+                word = ""
+        return out
+
+    by = {}
+    for _, text, lang in made:
+        by.setdefault(lang, Counter()).update(counted(text))
+    ranks = {lang: {g: r for r, g in enumerate(sorted(c, key=lambda g: (-c[g], g))[:400])} for lang, c in by.items()}
+    got = {r.doc_id: (r.lang_pred, r.distance) for r in language_id.identify(df, language_id.learn(df)).collect()}
+    for i, text, _ in made:
+        c = counted(text)
+        own = sorted(c, key=lambda g: (-c[g], zlib.crc32(g.encode())))[:400]
+        if not own:
+            assert got[i] == ("und", 1.0)
+            continue
+        far = {lang: sum(min(400, abs(rs.get(g, 10**6) - r)) for r, g in enumerate(own)) / (len(own) * 400) for lang, rs in ranks.items()}
+        best = min(sorted(far), key=far.get)
+        assert got[i][0] == best and got[i][1] == pytest.approx(far[best]), (i, text[:60])
+    assert language_id.identified(df, language_id.learn(df)).columns == df.columns
+    assert language_id.identify(df.limit(0), language_id.learn(df)).count() == 0
+
+
 # ---- mixing
 def test_mixing(spark):
     rng = random.Random(4)
@@ -455,6 +519,43 @@ def test_fingerprints(spark):
     assert len(fingerprint.fingerprints(docs(spark, ["b", "a", "c"], [1, 1, None])).collect()) == 3
 
 
+def runs_of(text):
+    """Runs of five words of each paragraph, with how often they occur; a shorter paragraph is one run."""
+    out = Counter()
+    for line in text.split("\n"):
+        w = line.split()
+        out.update([tuple(w[i : i + 5]) for i in range(len(w) - 4)] or ([tuple(w)] if w else []))
+    return out
+
+
+def test_fingerprints_against_multisets():
+    """Equal where the paragraphs are equal as multisets, alike as far as their runs of words are."""
+    rng = random.Random(16)
+    parts = [prose(rng, rng.randint(1, 30)) for _ in range(12)]
+    texts = ["\n".join(rng.choice(parts) for _ in range(rng.randint(0, 6))) for _ in range(300)] + [*WORDS, "", " \n\t"]
+    v = fingerprint.vectors(texts)
+    prints = fingerprint.encode(*v)
+    exact = [tuple(sorted(tuple(y.split()) for y in t.split("\n") if y.split())) for t in texts]
+    assert len(set(zip(prints, exact))) == len(set(prints)) == len(set(exact))
+    miss = []
+    for _ in range(2000):
+        i, j = rng.randrange(len(texts)), rng.randrange(len(texts))
+        a, b = runs_of(texts[i]), runs_of(texts[j])
+        both = sum(x * x for x in a.values()) + sum(x * x for x in b.values())
+        want = 2 * sum(n * b[r] for r, n in a.items()) / both if both else 1.0
+        got = float(fingerprint.likeness((v[0][[i]], v[1][[i]]), (v[0][[j]], v[1][[j]]))[0])
+        assert (got == 1) == (exact[i] == exact[j])
+        miss.append(abs(got - want))
+    assert np.mean(miss) < 0.03 and np.quantile(miss, 0.95) < 0.12
+
+
+def test_fingerprints_of_long_texts_and_clashing_columns(spark):
+    long = "\n".join(f"line {i} of a very long text" for i in range(60000))
+    df = spark.createDataFrame([(1, long, "x", 2), (2, None, "y", 3), (None, "a b", "z", 4)], "doc_id bigint, text string, bucket string, ahead int")
+    got = {r.doc_id: r for r in fingerprint.fingerprints(df).collect()}
+    assert len(got) == 3 and got[1].n_chars == len(long) and got[1].edited_sha256 == hashlib.sha256(long[: len(long) - len(long) // 4].encode()).hexdigest() and got[1].near_edited > 0.7
+
+
 def test_fingerprint_is_homomorphic():
     a, b, c = "one two three four five six", "seven eight", "nine ten eleven"
     f = lambda *lines: fingerprint.encode(*fingerprint.vectors(["\n".join(lines)]))[0]
@@ -465,7 +566,7 @@ def test_fingerprint_is_homomorphic():
 
 def test_fingerprint_of_a_line_repeated_very_often():
     line = "one two three four five"
-    (_, x), (_, y) = (fingerprint.vectors(["\n".join([line] * n)]) for n in (40_000, 32_000))
+    x, y = (fingerprint.vectors(["\n".join([line] * n)]) for n in (40_000, 32_000))
     assert abs(fingerprint.likeness(x, y)[0] - 2 * 40 * 32 / (40**2 + 32**2)) < 1e-9
 
 

@@ -8,13 +8,13 @@ Every turn is ``<s>[ROLE]role[/ROLE]text</s>``. A control string inside a role o
 character, and one that has such backslashes gets one more; taking one away restores the text.
 
 Defined cases: null text, role or part list are empty; unknown part types are treated as text; rows that share a turn
-number are ordered by role, then text; repeated rows are repeated turns; an empty table gives an empty result; other
-columns are ignored.
+number are ordered by role, then text; repeated rows are repeated turns; a conversation of any length takes time in
+proportion to it (its string is one value); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Placeholder and default token count of each attachment type.
@@ -57,40 +57,46 @@ def visit(parts: Column) -> Column:
 def format_chats(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", content: str = "content", learned: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """One row per conversation: ``conv_id, formatted, loss_mask, attachments, attachment_tokens``.
 
-    ``loss_mask`` has the start (from 0) and length, in code points, of every text of a ``learned`` role.
+    ``loss_mask`` has an entry a turn: where its text starts in the string (from 0) and in the turn, and how many code points
+    of it are learned: all for a ``learned`` role, 0 for others. Starts are a running sum over the turns.
     """
     seen = messages.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), visit(F.col(content)).alias("flat"))
     head = F.concat(F.lit("<s>[ROLE]"), escape(F.col("role")), F.lit("[/ROLE]"))
-    turns = seen.select("conv_id", F.struct("turn", "role", F.col("flat.text").alias("text"), head.alias("head"), F.col("flat.attachments").alias("attachments")).alias("t"))
-    rows = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    piece = lambda t: F.concat(t["head"], t["text"], F.lit("</s>"))
-    # the start of each turn: one running sum over the lengths
-    sizes = F.transform("ts", lambda t: F.char_length(piece(t)).cast("bigint"))
-    rows = rows.select("conv_id", "ts", F.array_join(F.transform("ts", piece), "").alias("formatted"), sizes.alias("sizes"))
-    start = F.aggregate("sizes", F.array(F.lit(0).cast("bigint")), lambda to, n: F.concat(to, F.array(F.element_at(to, -1) + n)))
-    mask = F.filter(
-        F.transform(F.col("ts"), lambda t, i: F.struct((F.get("starts", i) + F.char_length(t["head"])).alias("start"), F.char_length(t["text"]).cast("bigint").alias("length"), t["role"].isin(*learned).alias("on"))),
-        lambda m: m["on"],
-    )
-    rows = rows.withColumn("starts", start)
+    turns = seen.select("conv_id", "turn", "role", F.col("flat.text").alias("text"), head.alias("head"), F.col("flat.attachments").alias("attachments"))
+    turns = turns.withColumn("piece", F.concat("head", "text", F.lit("</s>"))).withColumn("skip", F.char_length("head").cast("bigint"))
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "text", F.to_json("attachments")).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.char_length("piece").cast("bigint")).over(before), F.lit(0).cast("bigint"))
+    length = F.when(F.col("role").isin(*learned), F.char_length("text")).otherwise(0).cast("bigint")
+    placed = turns.select("conv_id", F.struct(start.alias("start"), "piece", "skip", length.alias("length"), "attachments").alias("t"))
+    # pieces are not empty, so starts differ and order the turns
+    rows = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    mask = F.transform("ts", lambda t: F.struct((t["start"] + t["skip"]).alias("start"), t["skip"].alias("skip"), t["length"].alias("length")))
     refs = F.flatten(F.transform("ts", lambda t: t["attachments"]))
     return rows.select(
-        "conv_id", "formatted", F.transform(mask, lambda m: F.struct(m["start"].alias("start"), m["length"].alias("length"))).alias("loss_mask"),
+        "conv_id", F.array_join(F.transform("ts", lambda t: t["piece"]), "").alias("formatted"), mask.alias("loss_mask"),
         refs.alias("attachments"), F.aggregate(refs, F.lit(0).cast("bigint"), lambda n, r: n + r["tokens"]).alias("attachment_tokens"),
     )
 
 
+_OPEN = "<s>[ROLE]"
+
+
+def _pieces(formatted: Column) -> Column:
+    """The turns as they stand in the string, without the mark that opens them."""
+    return F.filter(F.split(formatted, r"<s>\[ROLE\]"), lambda x, i: i > 0)
+
+
 def read_turns(formatted: Column) -> Column:
     """The turns of a formatted string, as ``array<struct<role, text>>``."""
-    pieces = F.filter(F.split(formatted, r"<s>\[ROLE\]"), lambda x, i: i > 0)
     role = lambda p: F.element_at(F.split(p, r"\[/ROLE\]", 2), 1)
     body = lambda p: F.element_at(F.split(p, r"\[/ROLE\]", 2), 2)
-    return F.transform(pieces, lambda p: F.struct(unescape(role(p)).alias("role"), unescape(F.regexp_replace(body(p), r"</s>\z", "")).alias("text")))
+    return F.transform(_pieces(formatted), lambda p: F.struct(unescape(role(p)).alias("role"), unescape(F.regexp_replace(body(p), r"</s>\z", "")).alias("text")))
 
 
 def read_loss(formatted: Column, mask: Column) -> Column:
-    """The unescaped text under the loss mask, one part after the other."""
-    return F.array_join(F.transform(mask, lambda m: unescape(F.substring(formatted, (m["start"] + 1).cast("int"), m["length"].cast("int")))), "")
+    """The unescaped text under the loss mask, one part after the other; each turn is read by itself."""
+    part = lambda p, m: F.substring(p, (m["skip"] - len(_OPEN) + 1).cast("int"), m["length"].cast("int"))
+    return F.array_join(F.zip_with(_pieces(formatted), mask, lambda p, m: F.when(m["length"] > 0, unescape(part(p, m))).otherwise("")), "")
 
 
 def digests(chats: DataFrame) -> DataFrame:

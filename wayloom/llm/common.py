@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import tempfile
 import uuid
@@ -32,9 +33,39 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_ONLY[app]
 
 
+_SCOPES: list[list[str]] = []
+_LEAVES: set[str] = set()
+
+
+def _path(spark: SparkSession, place: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/wayloom/{uuid.uuid4().hex}/{label}"
+    """A new path in the shared folder; the application's are deleted when it ends, those of ``temporary`` before."""
+    top = f"{shared_dir(spark).rstrip('/')}/wayloom/{spark.sparkContext.applicationId}"
+    if top not in _LEAVES:
+        _LEAVES.add(top)
+        fs, path = _path(spark, top)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    place = f"{top}/{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(place)
+    return f"{place}/{label}"
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """What operators write within this is deleted at its end: nothing that is still read may depend on it."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for place in _SCOPES.pop():
+            fs, path = _path(spark, place)
+            fs.delete(path, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -61,9 +92,12 @@ def heavy_join(many: DataFrame, one: DataFrame, on: str, heavy: DataFrame, how:
     return left.join(right, [on, "__salt"], how).drop("__salt")
 
 
-def small_batches(spark: SparkSession, rows: int = 128) -> None:
-    """Bound what one Arrow batch holds; texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, most: int = 1 << 20) -> None:
+    """Bound the bytes of an Arrow batch. Plans read the option when they run, so it stays set; a lower one is kept."""
+    option = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(option))
+    if not 0 < now <= most:
+        spark.conf.set(option, f"{most}b")
 
 
 _KEPT: dict[str, object] = {}

@@ -8,10 +8,12 @@ A paragraph is a line that has a word. Its vector has two parts, each added lane
   Inner products of these parts estimate how many runs two texts share.
 
 The sum of a text is the sum of its paragraphs, so inserting (deleting) a paragraph adds (subtracts) its vector:
-``combine``. Likeness is 2<a,b> / (<a,a> + <b,b>) of the sketch parts, held to 0..1, and 1 for equal fingerprints.
+``combine``. Likeness is 2<a,b> / (<a,a> + <b,b>) of the sketch parts, held to 0..1; it is 1 for equal fingerprints and for
+no others.
 
-Defined cases: null text is empty; a text without words has the zero vector; rows that share an id follow each other in
-an order set by the texts; null ids come first; an empty table gives an empty result; other columns are ignored.
+Defined cases: null text is empty; a text without words has the zero vector; very long texts are read whole, one at a
+time; rows that share an id follow each other in an order set by the texts; null ids come first; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,9 @@ from pyspark.sql import functions as F
 from wayloom.llm import hashing
 from wayloom.llm.common import slices, small_batches, whole_text
 
-LANES, SKETCH, WORDS = 16, 256, 5
+LANES, SKETCH, WORDS = 16, 1024, 5
+#: Rows that are made into vectors together, at most.
+ROWS = 512
 _SEEDS = hashing.mix(np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -63,14 +68,14 @@ def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encode(lanes: np.ndarray, sketch: np.ndarray) -> list[str]:
-    """Fingerprints as text: the lanes in hex, a dot, the sketch in base 64."""
+    """Fingerprints as text: the lanes in hex, a dot, the sketch compressed in base 64."""
     lanes, sketch = lanes.astype("<u4"), sketch.astype("<u4")
-    return [f"{a.tobytes().hex()}.{base64.b64encode(b.tobytes()).decode()}" for a, b in zip(lanes, sketch, strict=True)]
+    return [f"{a.tobytes().hex()}.{base64.b64encode(zlib.compress(b.tobytes(), 1)).decode()}" for a, b in zip(lanes, sketch, strict=True)]
 
 
 def decode(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     a, _, b = fingerprint.partition(".")
-    return np.frombuffer(bytes.fromhex(a), "<u4"), np.frombuffer(base64.b64decode(b), "<u4")
+    return np.frombuffer(bytes.fromhex(a), "<u4"), np.frombuffer(zlib.decompress(base64.b64decode(b)), "<u4")
 
 
 def combine(fingerprint: str, added: tuple[str, ...] = (), deleted: tuple[str, ...] = ()) -> str:
@@ -82,12 +87,14 @@ def combine(fingerprint: str, added: tuple[str, ...] = (), deleted: tuple[str, .
     return encode(lanes[None], sketch[None])[0]
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row, of sketch parts."""
+def likeness(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Row by row, of vectors' two parts."""
+    same = (x[0] == y[0]).all(1) & (x[1] == y[1]).all(1)
+    a, b = x[1], y[1]
     a, b = a.astype(np.int32).astype(np.float64), b.astype(np.int32).astype(np.float64)
     norm = (a * a).sum(1) + (b * b).sum(1)
     near = np.clip(2 * (a * b).sum(1) / np.where(norm > 0, norm, 1), 0, 1)
-    return np.where((a == b).all(1), 1.0, near)
+    return np.where(same, 1.0, np.minimum(near, 1 - 2.0**-20))
 
 
 def edited(text: str, following: str) -> str:
@@ -127,7 +134,15 @@ def _ordered(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     placed = rows.withColumn("bucket", bucket)
     copies = placed.join(F.broadcast(firsts), F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "text", F.col("before").alias("bucket"), F.lit(True).alias("ahead"))
     both = placed.withColumn("ahead", F.lit(False)).unionByName(copies)
-    return both.repartition(len(heads), "bucket").sortWithinPartitions("bucket", "ahead", "doc_id", F.xxhash64("text"))
+    # a number a bucket that hashes to a partition of its own
+    n = len(heads)
+    found = spark.range(20 * n + 100).select(F.col("id").cast("int").alias("x"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p")).groupBy("p").agg(F.min("x").alias("x")).collect()
+    own = {r["p"]: r["x"] for r in found}
+    spare = iter(range(20 * n + 100, 21 * n + 100))
+    to = {r["bucket"]: own.get(i, None) for i, r in enumerate(heads)}
+    to = spark.createDataFrame([(b, next(spare) if x is None else x) for b, x in to.items()], "bucket int, own int")
+    dealt = both.join(F.broadcast(to), "bucket")
+    return dealt.repartition(n, "own").sortWithinPartitions("bucket", "ahead", "doc_id", F.xxhash64("text"))
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -150,7 +165,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                         held.append((*waiting, t))
                         size += len(t)
                     waiting, done = (i, t), ahead
-                    if size > 1 << 20:
+                    if size > 1 << 20 or len(held) >= ROWS:
                         yield held
                         held, size = [], 0
         if held:
@@ -160,13 +175,11 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         for group in rows(batches):
             texts, following = [r[1] for r in group], [r[2] for r in group]
             changed = [edited(t, n) for t, n in zip(texts, following, strict=True)]
-            lanes, sketch = vectors(texts)
-            e_lanes, e_sketch = vectors(changed)
-            _, n_sketch = vectors(following)
+            own, edit, ahead = vectors(texts), vectors(changed), vectors(following)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([r[0] for r in group], pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed]),
-                    pa.array(encode(lanes, sketch)), pa.array(encode(e_lanes, e_sketch)), pa.array(likeness(sketch, e_sketch)), pa.array(likeness(sketch, n_sketch)),
+                    pa.array(encode(*own)), pa.array(encode(*edit)), pa.array(likeness(own, edit)), pa.array(likeness(own, ahead)),
                 ],
                 ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
             )

@@ -8,8 +8,10 @@ language's profile lacks counts as ``PROFILE`` places.
 Profiles are learned from at most about ``per_lang`` labelled texts a language (a documented bound; which ones is set by
 a hash of the id), by sums of counts on the executors; the driver gets only the profiles.
 
-Defined cases: a null text or one without a letter is ``und`` with score 0; rows without a label or id are never
-learned from; with nothing to learn from all are ``und``; ties go to the n-gram or language that sorts first.
+Letters are characters of Unicode category L alone. Defined cases: a null text or one without a letter is ``und`` with
+score 0; rows without a label or id are never learned from; with nothing to learn from all are ``und``; ties go to the
+n-gram (in a text's profile, to its CRC-32) or language that sorts first; repeated rows get a row each; very long texts are
+read whole; an empty table gives an empty result; other columns are ignored (``identified`` returns them).
 """
 
 from __future__ import annotations
@@ -55,9 +57,19 @@ def _ids(word: str) -> np.ndarray:
     return found
 
 
+def words_of(text: str) -> Counter[str]:
+    """The runs of letters of a text in lower case, with how often they occur."""
+    seen = Counter(WORD.findall(text.lower()))
+    for w in [w for w in seen if not w.isalpha()]:  # numbers that are no digits, such as fractions
+        n = seen.pop(w)
+        for part in "".join(c if c.isalpha() else " " for c in w).split():
+            seen[part] += n
+    return seen
+
+
 def profile(text: str, most: int = PROFILE) -> np.ndarray:
     """Hashes of the most frequent n-grams of a text, in rank order."""
-    seen = Counter(WORD.findall(text.lower()))
+    seen = words_of(text)
     if not seen:
         return np.zeros(0, np.uint64)
     parts = [_ids(w) for w in seen]
@@ -113,7 +125,7 @@ def learn(rows: DataFrame, per_lang: int = PER_LANG) -> Profiles:
             for part in slices(batch, "text"):
                 by: dict[str, Counter] = defaultdict(Counter)
                 for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    by[lang].update(WORD.findall((text or "").lower()))
+                    by[lang].update(words_of(text or ""))
                 total: Counter = Counter()
                 for lang, words in by.items():
                     for w, n in words.items():

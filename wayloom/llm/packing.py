@@ -5,12 +5,15 @@ partition (a running sum). The totals of the partitions, one number each, give t
 prefix sum. Pass 2 reads the table, adds the two starts, and cuts the one long stream of ids into windows of ``window``;
 a text that crosses a window's edge leaves a piece on either side. No row is shuffled; only the last window is padded.
 
-Defined cases: null text is empty and holds the end id alone; repeated rows are packed each; an empty table gives no
-piece; other columns are ignored. The order of the stream is that of the partitions and rows of the written table.
+Defined cases: null text is empty and holds the end id alone; repeated rows are packed each; a very long text is encoded
+whole and cut into as many pieces as windows it meets; null ids are returned as they are; an empty table gives no piece;
+other columns are ignored. The order of the stream is that of the partitions and rows of the written table.
 """
 
 from __future__ import annotations
 
+import functools
+import json
 import struct
 import zlib
 
@@ -67,27 +70,30 @@ def _encoded(path: str, parts: list[str]) -> list[bytes]:
 
 
 class Kept:
-    """Ids of words by the words' 64-bit hashes: sorted arrays, new words in a small one that is merged now and then."""
+    """Ids of words by the words' 64-bit hashes: sorted arrays, new words in a small one that is merged now and then.
+
+    A word's length and CRC-32 are kept beside its hash; a hit that differs in them is no hit.
+    """
 
     def __init__(self):
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.tiers = [self._tier(), self._tier()]
 
     @staticmethod
-    def _tier(key=(), start=(), size=()):
-        return np.array(key, np.uint64), np.array(start, np.int64), np.array(size, np.int64)
+    def _tier(key=(), start=(), size=(), mark=()):
+        return np.array(key, np.uint64), np.array(start, np.int64), np.array(size, np.int32), np.array(mark, np.uint64)
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, keys: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and number of ids of each key; a start of -1 is unknown."""
         start, size = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
-        for known, starts_, sizes in self.tiers:
+        for known, starts_, sizes, marks_ in self.tiers:
             if len(known):
                 at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                hit = known[at] == keys
+                hit = (known[at] == keys) & (marks_[at] == marks)
                 start[hit], size[hit] = starts_[at[hit]], sizes[at[hit]]
         return start, size
 
-    def add(self, keys: np.ndarray, ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def add(self, keys: np.ndarray, marks: np.ndarray, ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Keep the ids of new keys, which are sorted."""
         size = np.array([len(i) // 4 for i in ids], np.int64)
         start = self.used + np.cumsum(size) - size
@@ -95,7 +101,7 @@ class Kept:
         if self.used > len(self.flat):
             self.flat = np.concatenate([self.flat[: self.used - int(size.sum())], np.zeros(max(self.used, len(self.flat)), np.uint32)])
         self.flat[self.used - int(size.sum()) : self.used] = np.frombuffer(b"".join(ids), "<u4")
-        self.tiers[1] = self._merged(self.tiers[1], (keys, start, size))
+        self.tiers[1] = self._merged(self.tiers[1], (keys, start, size.astype(np.int32), marks))
         if len(self.tiers[1][0]) > 1 << 16:
             self.tiers = [self._merged(*self.tiers), self._tier()]
         return start, size
@@ -129,12 +135,15 @@ def word_ids(path: str, texts: pa.Array) -> list[bytes]:
     if path not in _IDS or len(_IDS[path].tiers[0][0]) > MOST_WORDS:
         _IDS[path] = Kept()
     kept = _IDS[path]
-    start, size = kept.find(keys)
+    view = memoryview(data)
+    bounds = list(zip(starts_[first].tolist(), ends[first].tolist(), strict=True))
+    marks = np.array([(b - a) << 32 | zlib.crc32(view[a:b]) for a, b in bounds], np.uint64)
+    start, size = kept.find(keys, marks)
     new = np.flatnonzero(start < 0)
     for k in range(0, len(new), 4096):
         some = new[k : k + 4096]
-        raw = [data[a:b].tobytes().decode() for a, b in zip(starts_[first[some]], ends[first[some]], strict=True)]
-        start[some], size[some] = kept.add(keys[some], _encoded(path, raw))
+        raw = [str(view[bounds[i][0] : bounds[i][1]], "utf-8") for i in some]
+        start[some], size[some] = kept.add(keys[some], marks[some], _encoded(path, raw))
     per = size[inverse]
     to = np.concatenate([[0], np.cumsum(per)])
     ids = kept.flat[np.repeat(start[inverse] - to[:-1], per) + np.arange(to[-1])].astype("<u4").tobytes()
@@ -149,17 +158,31 @@ def _parts(text: str) -> list[str]:
     return text.replace("\n", " ").split(" ")
 
 
-def drops_space(path: str) -> bool:
-    """Whether a tokenizer file's pre-tokens hold no white space: it removes all that its pattern doesn't match."""
-    tok = tokenizer(path)
-    probe = tok.encode("a \n b", add_special_tokens=False).ids
-    return probe == tok.encode("a", add_special_tokens=False).ids + tok.encode("b", add_special_tokens=False).ids
+# fixed values: the pre-token pattern, normalizers and word end of the public CLIP vocabulary
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALIZERS = [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)]
+_WORD_END = "</w>"
+
+
+@functools.cache
+def by_words(path: str) -> bool:
+    """Whether ``word_ids`` may stand in for a tokenizer file: it lower-cases, drops white space, splits words from signs
+    by that very pattern and marks word ends. Any other file goes to the library whole."""
+    said = json.loads(tokenizer(path).to_str())
+    normal, pre, model = said.get("normalizer") or {}, said.get("pre_tokenizer") or {}, said["model"]
+    steps = [(x["type"], (x.get("pattern") or {}).get("Regex")) for x in normal.get("normalizers", [])]
+    split = (pre.get("pretokenizers") or [{}])[0]
+    kinds = [x["type"] for x in pre.get("pretokenizers", [])]
+    removes = split.get("behavior") == "Removed" and split.get("invert") is True and split.get("pattern") == {"Regex": _PATTERN}
+    plain_model = model["type"] == "BPE" and model.get("end_of_word_suffix") == _WORD_END and not model.get("dropout") and not model.get("unk_token")
+    bare = all(t.get("special") and not t.get("lstrip") and not t.get("rstrip") and "<|" in t["content"] for t in said.get("added_tokens", []))
+    return steps == _NORMALIZERS and kinds == ["Split", "ByteLevel"] and removes and plain_model and bare
 
 
 def encode(path: str, texts: pa.Array) -> list[bytes]:
-    """Ids of each text. For a tokenizer that drops white space, its pre-tokens hold none, so the ids of a text are those
-    of its parts between white space, and, where signs can't join them, between words and signs."""
-    if drops_space(path):
+    """Ids of each text. Where ``by_words`` holds, pre-tokens hold no white space, so the ids of a text are those of its
+    parts between white space, and, where signs can't join them, between words and signs."""
+    if by_words(path):
         return word_ids(path, texts)
     return [np.array(e.ids, "<u4").tobytes() for e in tokenizer(path).encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
 

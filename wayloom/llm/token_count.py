@@ -7,7 +7,8 @@ pre-token or merge crosses such a place in any context. Both chunks must also sh
 overlap has no such place, it is widened (doubled) until one is found or the text ends, when the chunk takes the rest.
 
 Memory is bounded by the chunk and the overlap, except for a text with no stable place at all, which is one piece.
-Defined cases: null text is empty and has no tokens; repeated rows are counted each; other columns are ignored.
+Defined cases: null text is empty and has no tokens; repeated rows are counted each; null ids are returned as they are; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
