@@ -84,8 +84,28 @@ def test_exact_dedup(spark, weak):
 
 
 def test_exact_dedup_null_ids(spark):
-    got = exact_dedup.exact_dedup(docs(spark, ["a", "a", "b"], [None, 5, None])).collect()
-    assert sorted((r.keep_id or -1, r.group_size) for r in got) == [(-1, 1), (5, 2), (5, 2)]
+    got = exact_dedup.exact_dedup(docs(spark, ["a", "a", "b", "b ", "c" * 100_000, "c" * 100_000], [None, 5, None, None, 8, 8])).collect()
+    assert sorted((r.keep_id or -1, r.group_size, r.kept) for r in got) == [(-1, 2, False), (-1, 2, True), (5, 2, False), (5, 2, True), (8, 2, False), (8, 2, True)]
+    assert {r.doc_id for r in got if r.keep_id == 5 and r.kept} == {5}
+
+
+def test_exact_dedup_adds_to_a_kept_state(spark, tmp_path):
+    rng = random.Random(31)
+    texts = [rng.choice(["a", "b c", "bc", "d ", "", "e f g"]) + str(rng.randint(0, 9)) for _ in range(120)]
+    whole = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(docs(spark, texts)).collect()}
+    state = str(tmp_path / "state")
+    first = {r.doc_id: r.group_size for r in exact_dedup.exact_dedup(docs(spark, texts[:70]), state_dir=state).collect()}
+    assert first == {i: r.group_size for i, r in enumerate(sorted(exact_dedup.exact_dedup(docs(spark, texts[:70])).collect(), key=lambda r: r.doc_id))}
+    docs(spark, texts[70:], range(70, 120)).write.parquet(str(tmp_path / "later"))
+    later = exact_dedup.exact_dedup(spark.read.parquet(str(tmp_path / "later")), state_dir=state).collect()
+    assert len(later) == 50 and {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in later} == {i: whole[i] for i in range(70, 120)}
+
+
+def test_exact_dedup_keeps_rows_whole(spark):
+    df = docs(spark, ["a", "a ", "b", "b", None], [None, 1, None, None, 3]).withColumn("f", F.lit("x")).withColumn("row", F.lit(1))
+    out = exact_dedup.deduplicated(df)
+    assert out.columns == df.columns and rows(out, "doc_id", "text", "f") == [(1, "a ", "x"), (3, None, "x"), (None, "b", "x")]
+    assert exact_dedup.deduplicated(df.limit(0)).count() == 0
 
 
 # ---- suffix dedup

@@ -10,7 +10,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  makes pa.compute available
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_ONLY: dict[str, str] = {}
@@ -76,6 +77,45 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def rows_of_files(docs: DataFrame) -> bool:
+    """Whether every row of ``docs`` is a row of a file: a scan with nothing but projections and filters above it."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.children().size() == 1:
+        if plan.nodeName() not in ("Project", "Filter", "SubqueryAlias"):
+            return False
+        plan = plan.children().head()
+    try:
+        return not plan.children().size() and docs.select("_metadata.file_path", "_metadata.row_index") is not None
+    except AnalysisException:
+        return False
+
+
+def located(docs: DataFrame, *columns: Column, place: str | None = None) -> DataFrame:
+    """``columns`` of ``docs`` with each row's locator: ``file`` and ``row`` in it, and ``f``, the file as a number.
+
+    Rows that are in no file are written first, to ``place`` or the shared folder.
+    """
+    if not rows_of_files(docs):
+        spark = docs.sparkSession
+        place = place or scratch(spark, "source")
+        docs.select(*columns).write.mode("append").parquet(place)
+        docs = spark.read.parquet(place)
+        columns = tuple(F.col(f"`{c}`") for c in docs.columns)
+    return docs.select(*columns, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).withColumn("f", F.xxhash64("file"))
+
+
+#: Locators up to this many rows (16 bytes each) are broadcast; beyond it they are shuffled.
+MOST_LOCATORS = 500_000
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs``, which are rows of files, but for those at the locators ``__f, __row``; all their columns."""
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(*names, F.xxhash64("_metadata.file_path").alias("__f"), F.col("_metadata.row_index").alias("__row"))
+    gone = F.broadcast(gone) if gone.count() <= MOST_LOCATORS else gone
+    return rows.join(gone, ["__f", "__row"], "left_anti").select(*names)
+
+
 #: A key with more than this share of a table's rows is heavy: there are fewer than 1 / HEAVY of them, whatever the table.
 HEAVY, SALTS = 1e-3, 32
 

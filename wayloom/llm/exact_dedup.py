@@ -1,23 +1,29 @@
 """Exact deduplication by a stateful stream.
 
-Every text becomes a ledger row: digest of its normalised bytes, stable identifier, size and content locator (the file
-that holds it). The ledger is read as a stream; its keyed state, in RocksDB with no expiry, retains for each digest the
+Every text becomes a ledger row: digest of its normalised bytes, stable identifier, size and content locator (a file and
+the row in it). The ledger is read as a stream; its keyed state, in RocksDB with no expiry, retains for each digest the
 number of rows and the identifier and locator of the row that stays. Partial sums go before the shuffle, so a digest
-that a third of all rows share is a few rows in the exchange. Hits (digests of more than one row) are then checked by
-whole texts against the retained row's, fetched by its locator; a digest that two texts share is split by the texts.
+that a third of all rows share is a few rows in the exchange. Rows of a digest that more than one row has are hits: their
+texts are fetched by their locators, the retained row's from whatever file holds it, and compared byte for byte (the least
+and the greatest text of a digest are the same). A digest that two texts share is split by the texts.
 
-Defined cases: null text is empty; null ids take part and lose every tie; rows that repeat an id keep one verdict for
-all of them; an empty table gives an empty result; other columns are ignored.
+With a ``state_dir`` the ledger and the state stay there, and a later call adds its rows to them: it reads its own texts
+and, of earlier files, the retained rows of its hits.
+
+Defined cases: null text is empty; very long texts are read whole; of each group one row stays, told by its locator; null
+ids take part and lose every tie but among themselves; repeated rows are copies; an empty table gives an empty result;
+other columns are ignored (``deduplicated`` returns them).
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayloom.llm.common import scratch, whole_text, written
+from wayloom.llm.common import HEAVY, rows_of_files, heavy_join, located, scratch, whole_text, without, written
 
 SPACES = " \t\n\x0b\x0c\r"
 #: State in RocksDB, uploaded as changes, without reserving disk ahead: a store is small, and there is one a partition.
@@ -31,8 +37,8 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "2",
     "spark.sql.streaming.stateStore.maintenanceInterval": "5s",
 }
-#: Ids and files of hits up to this many rows (about 16 bytes each) are broadcast; beyond it they are shuffled.
-MOST_BROADCAST = 1_000_000
+#: Locators of hits up to this many rows (48 bytes each) are broadcast; beyond it they are shuffled.
+MOST_BROADCAST = 200_000
 
 
 def normal(text: str = "text") -> Column:
@@ -43,21 +49,19 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def _best(column: str = "best") -> Column:
-    return F.max(column).alias("best")
+_LEDGER = "doc_id bigint, digest binary, n_chars bigint, file string, row bigint, f bigint, run string"
+_BEST = "struct<n_chars:bigint,order:bigint,doc_id:bigint,file:string,row:bigint,f:bigint>"
+
 
+def _best() -> Column:
+    """What decides which row stays: the most code points, the smallest id, then the locator."""
+    return F.max(F.struct("n_chars", (-F.col("doc_id")).alias("order"), "doc_id", "file", "row", "f")).alias("best")
 
-def _stream_state(ledger: DataFrame, files_a_batch: int) -> DataFrame:
-    """Digest, number of rows, and the row that stays: the final state of the stream over the ledger's files."""
-    spark = ledger.sparkSession
-    path = {f.rsplit("/", 1)[0] for f in ledger.inputFiles()}
-    place = scratch(spark, "state")
-    shape = "digest binary, n bigint, best struct<n_chars:bigint,order:bigint,doc_id:bigint,locator:string>"
-    if not path:
-        return spark.createDataFrame([], shape)
-    source = spark.readStream.schema(ledger.schema).option("maxFilesPerTrigger", files_a_batch).parquet(path.pop())
-    best = F.struct("n_chars", (-F.col("doc_id")).alias("order"), "doc_id", "locator")
-    state = source.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max(best).alias("best"))
+
+def _stream_state(spark: SparkSession, place: str, files_a_batch: int) -> DataFrame:
+    """``digest, n, best``: the final state of the stream over the ledger's files."""
+    source = spark.readStream.schema(_LEDGER).option("maxFilesPerTrigger", files_a_batch).parquet(f"{place}/ledger")
+    state = source.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), _best())
     keep = {k: spark.conf.get(k, None) for k in STATE}
     for k, v in STATE.items():
         spark.conf.set(k, v)
@@ -71,47 +75,74 @@ def _stream_state(ledger: DataFrame, files_a_batch: int) -> DataFrame:
         for k, v in keep.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     # count and best only grow, so each digest's last state is its greatest
-    final = spark.read.schema(shape).parquet(f"{place}/out").groupBy("digest").agg(F.max("n").alias("n"), _best())
-    return written(final, "state-final")
-
-
-def _only(docs: DataFrame, ids: DataFrame, count: int) -> DataFrame:
-    """The rows of ``docs`` whose id is in ``ids`` (distinct)."""
-    return docs.join(F.broadcast(ids) if count <= MOST_BROADCAST else ids, "doc_id", "left_semi")
-
-
-def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = sha256, files_a_batch: int = 64) -> DataFrame:
-    """One row per input row: ``doc_id, keep_id, group_size, kept, digest``."""
-    spark: SparkSession = docs.sparkSession
-    texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), whole_text(text).alias("text"), F.input_file_name().alias("locator"))
-    ledger = written(texts.select("doc_id", digest(normal()).alias("digest"), F.char_length("text").cast("bigint").alias("n_chars"), "locator"), "ledger")
-    state = _stream_state(ledger, files_a_batch)
-    many = state.where("n > 1")
-    verdict = ledger.join(state, "digest").select(ledger["doc_id"], "digest", F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size"))
-    clash = _clashes(texts, written(verdict.where("group_size > 1"), "hits"), many, digest)
+    final = spark.read.schema(f"digest binary, n bigint, best {_BEST}").parquet(f"{place}/out")
+    return written(final.groupBy("digest").agg(F.max("n").alias("n"), F.max("best").alias("best")), "state-final")
+
+
+def _verdict(docs: DataFrame, doc_id: str, text: str, digest: Callable[[Column], Column], files_a_batch: int, state_dir: str | None) -> DataFrame:
+    """``doc_id, f, row, keep_id, group_size, kept, digest`` of every row."""
+    spark = docs.sparkSession
+    place, run = state_dir or scratch(spark, "exact"), uuid.uuid4().hex
+    texts = located(docs, F.col(doc_id).cast("bigint").alias("doc_id"), whole_text(text).alias("text"), place=f"{state_dir}/texts/run={run}" if state_dir else None)
+    size = F.char_length("text").cast("bigint").alias("n_chars")
+    texts.select("doc_id", digest(normal()).alias("digest"), size, "file", "row", "f", F.lit(run).alias("run")).write.mode("append").parquet(f"{place}/ledger")
+    ledger = spark.read.schema(_LEDGER).parquet(f"{place}/ledger").where(F.col("run") == run)
+    state = _stream_state(spark, place, files_a_batch)
+    own_counts = ledger.groupBy("digest").agg(F.count(F.lit(1)).alias("n")) if state_dir else state
+    heavy = own_counts.where(F.col("n") > HEAVY * ledger.count()).select("digest")
+    verdict = heavy_join(ledger.drop("n_chars", "file", "run"), state, "digest", heavy)
+    own = (F.col("f") == F.col("best.f")) & (F.col("row") == F.col("best.row"))
+    verdict = verdict.select("doc_id", "f", "row", "digest", F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size"), own.alias("kept"), "best")
+    hits = written(verdict.where("group_size > 1"), "hits")
+    clash = _clashes(texts, hits, ledger, text)
+    verdict = verdict.drop("best")
     if clash is not None:  # two texts, one digest: groups are by digest and text
-        split = texts.select("doc_id", normal().alias("norm"), F.char_length("text").cast("bigint").alias("n_chars"), "locator").withColumn("digest", digest(F.col("norm")))
-        split = split.join(clash, "digest", "left_semi")
-        groups = split.groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("n_chars", (-F.col("doc_id")).alias("order"), "doc_id")).alias("best"))
-        again = split.join(groups, ["digest", "norm"]).select("doc_id", "digest", F.col("best.doc_id").alias("keep_id"), "group_size")
+        if state_dir:
+            raise ValueError("two texts share a digest: a kept state can't tell them apart")
+        split = texts.select("doc_id", "file", "row", "f", normal().alias("norm"), size).withColumn("digest", digest(F.col("norm"))).join(clash, "digest", "left_semi")
+        groups = split.groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("group_size"), _best())
+        again = split.join(groups, ["digest", "norm"]).select("doc_id", "f", "row", "digest", F.col("best.doc_id").alias("keep_id"), "group_size", own.alias("kept"))
         verdict = verdict.join(clash, "digest", "left_anti").unionByName(again)
-    return verdict.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    return verdict
 
 
-def _clashes(texts: DataFrame, hits: DataFrame, many: DataFrame, digest: Callable[[Column], Column]) -> DataFrame | None:
-    """Digests under which two different texts lie: every hit's whole text against the retained row's."""
+def _clashes(texts: DataFrame, hits: DataFrame, ledger: DataFrame, text: str) -> DataFrame | None:
+    """Digests under which two different texts lie: the whole texts of the hits and of the rows retained for them."""
     count = hits.count()
     if not count:
         return None
-    kept = many.select(F.col("best.doc_id").alias("doc_id"), "digest")
-    body = lambda ids: _only(texts, ids.select("doc_id").distinct(), count).select("doc_id", normal().alias("norm"))
-    held = body(kept).withColumn("digest", digest(F.col("norm"))).select("digest", F.col("norm").alias("retained"), "doc_id")
-    held = held.join(kept, ["digest", "doc_id"], "left_semi").drop("doc_id")
-    pairs = body(hits).withColumn("digest", digest(F.col("norm"))).hint("merge").join(held, "digest")
-    wrong = written(pairs.where(F.col("norm") != F.col("retained")).select("digest").distinct(), "clashes")
+    fetched = hits.select("f", "row", "digest")
+    fetched = texts.select("f", "row", normal().alias("norm")).join(F.broadcast(fetched) if count <= MOST_BROADCAST else fetched, ["f", "row"])
+    bodies = fetched.select("digest", "norm")
+    # retained rows of earlier runs lie in other files
+    files = ledger.select(F.col("file").alias("own")).distinct()
+    before = hits.select("digest", "best.file", F.col("best.row").alias("row")).distinct().join(files, F.col("file") == F.col("own"), "left_anti")
+    others = [r["file"] for r in before.select("file").distinct().collect()]
+    if others:
+        spark = texts.sparkSession
+        held = spark.read.parquet(*others)
+        body = whole_text(text if text in held.columns else "text")
+        old = held.select(body.alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+        bodies = bodies.unionByName(old.join(before, ["file", "row"]).select("digest", normal().alias("norm")))
+    # sums before the shuffle: a digest that very many rows have is a row a task
+    ends = bodies.groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("greatest"))
+    wrong = written(ends.where(F.col("least") != F.col("greatest")).select("digest"), "clashes")
     return wrong if wrong.head(1) else None
 
 
+def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = sha256, files_a_batch: int = 64, state_dir: str | None = None) -> DataFrame:
+    """One row per input row: ``doc_id, keep_id, group_size, kept, digest``."""
+    return _verdict(docs, doc_id, text, digest, files_a_batch, state_dir).drop("f", "row")
+
+
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, one of each group, with all their columns."""
+    if not rows_of_files(docs):
+        docs = written(docs, "source")
+    gone = written(_verdict(docs, doc_id, text, sha256, 64, None).where("not kept").select(F.col("f").alias("__f"), F.col("row").alias("__row")), "gone")
+    return without(docs, gone)
+
+
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:
     out = exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
