@@ -266,28 +266,42 @@ def test_near_duplicates(spark):
 def test_near_duplicates_null_and_repeated_ids(spark):
     rng = random.Random(12)
     t = prose(rng, 60)
-    got = rows(near_dedup.near_duplicates(docs(spark, [t, t, t + " more", t], [None, 7, 9, 7])), "doc_id", "group_id", "group_size")
+    table = docs(spark, [t, t, t + " more", t], [None, 7, 9, 7])
+    got = rows(near_dedup.near_duplicates(table), "doc_id", "group_id", "group_size")
     assert got == [(7, 7, 4), (7, 7, 4), (9, 7, 4), (None, 7, 4)]
-
-
-def test_block_pairs_finds_every_pair_that_shares_a_bucket(spark):
-    """Bytes of different registers agree now and then; the first shared bucket is told by its key."""
+    assert near_dedup.deduplicated(table).count() == 1
+    u = prose(rng, 50)
+    table = docs(spark, [t, t + " more", u, u + " x", prose(rng, 5000), ""], [None, None, 3, 3, 4, None])
+    out = near_dedup.deduplicated(table)
+    assert out.columns == table.columns and out.count() == 4 and sorted(r.doc_id or 0 for r in out.collect()) == [0, 0, 3, 4]
+    assert near_dedup.deduplicated(table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("block", [512, 12])
+def test_open_buckets(spark, monkeypatch, block):
+    """Pairs across groups in buckets under and over the bound: as good as all near pairs are found, at either size."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "GUIDES", 4)
     rng = random.Random(13)
     texts = []
-    for _ in range(500):
-        base = prose(rng, 120).split()
-        other = list(base)
-        for k in (30, 60):
-            other[k] += "x"
-        texts += [" ".join(base), " ".join(other)]
-    table = docs(spark, texts).select("doc_id", "text")
-    dealt = near_dedup.sketch(table).select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key")).cache()
-    full = dealt.join(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key").withColumn("own", F.col("id"))
-    seen = near_dedup.signature_bytes(table)
-    got = [tuple(r) for r in near_dedup.block_pairs(full.join(seen, "id"), 0.5).collect()]
-    want = {tuple(r) for r in full.alias("x").join(full.alias("y"), "key").where("x.id < y.id").select("x.id", "y.id").distinct().collect()}
-    assert len(want) >= 490
-    assert set(got) == want and len(got) == len(want)
+    for _ in range(4):
+        base = prose(rng, 150).split()
+        for _ in range(40):
+            other = list(base)
+            for _ in range(rng.randint(0, 2)):
+                other[rng.randrange(len(other))] += "x"
+            texts.append(" ".join(other))
+    texts = list(dict.fromkeys(texts))
+    held = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    ids = held.withColumn("own", F.col("id"))
+    dealt = near_dedup.signature_bytes(held).select("id", F.explode("keys").alias("key")).join(ids.select("id", "own"), "id").cache()
+    opened = dealt.join(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
+    got = {tuple(r) for r in near_dedup.open_pairs(opened.select("key", "id", "own", "n"), held).collect()}
+    runs = [runs_of(t) for t in texts]
+    assert all(max(r.values()) == 1 for r in runs)  # then the similarity is that of sets
+    sets = [r.keys() for r in runs]
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(want) > 500 and len(want & got) >= (0.999 if block > 100 else 0.9) * len(want)
 
 
 def test_probability_minhash_estimates():
