@@ -57,6 +57,12 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{place}/{label}"
 
 
+def drop(spark: SparkSession, place: str) -> None:
+    """Delete a table or folder."""
+    fs, path = _path(spark, place)
+    fs.delete(path, True)
+
+
 @contextlib.contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
     """What operators write within this is deleted at its end: nothing that is still read may depend on it."""
@@ -65,8 +71,7 @@ def temporary(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for place in _SCOPES.pop():
-            fs, path = _path(spark, place)
-            fs.delete(path, True)
+            drop(spark, place)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
