@@ -2,57 +2,57 @@
 
 Each stage takes what the one before kept, as a written table, and its decisions take effect: rows that it rejects are
 gone. All but the last return the columns of ``documents``.
+
+Defined cases, of every stage: null ids are documents of their own, and of copies that have no other id one stays; a null
+text is empty (language identification rejects it); very long texts are read whole; repeated rows are copies, of which
+one stays; an empty table gives an empty table; columns other than those of ``documents`` are left out, whatever they are
+named, and columns that are missing are null.
 """
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayloom.llm import exact_dedup, language_id, mixing, near_dedup, packing
-from wayloom.llm.common import written
+from wayloom.llm.common import drop, scratch, temporary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Ids of dropped rows up to this many (8 bytes each) are broadcast; beyond it rows are shuffled.
-MOST_BROADCAST = 1_000_000
 
 
-def _kept(docs: DataFrame, verdict: DataFrame) -> DataFrame:
-    """The rows that ``verdict`` (``doc_id, kept``) keeps; of rows that repeat an id and text, one."""
-    verdict = written(verdict.select("doc_id", "kept"), "verdict")
-    gone = verdict.where("not kept and doc_id is not null").select("doc_id").distinct()
-    gone = F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    twice = verdict.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if twice.head(1):
-        twice = written(twice, "twice")
-        left = left.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(left.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"]))
-    return left
+def columns(docs: DataFrame) -> DataFrame:
+    """The columns of ``documents``; a table that lacks one has nulls there, or the text's code points for ``n_chars``."""
+    have = set(docs.columns)
+    stand_in = {"n_chars": F.char_length(F.coalesce("text", F.lit(""))).cast("bigint") if "text" in have else F.lit(None).cast("bigint")}
+    kinds = {"doc_id": "bigint", "n_chars": "bigint"}
+    return docs.select(*[F.col(c) if c in have else stand_in.get(c, F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in COLUMNS])
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no learned language go: without letters, or unlike every profile."""
-    docs = docs.select(COLUMNS)
+    docs = columns(docs)
     return language_id.identified(docs, language_id.learn(docs.where(~language_id.held_out()).select("doc_id", "text", "lang")))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(COLUMNS)
-    return _kept(docs, exact_dedup.exact_dedup(docs))
+    """One document of each group of equal texts stays, the longest, then the one of the smallest id."""
+    return exact_dedup.deduplicated(columns(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one of the smallest id."""
-    docs = docs.select(COLUMNS)
-    return _kept(docs, near_dedup.near_duplicates(docs))
+    return near_dedup.deduplicated(columns(docs))
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents stay at the rates that bring the domains' tokens to the target weights."""
-    return mixing.mixed(docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return mixing.mixed(columns(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What stays, as pieces of full sequences; each document's ids are in exactly one set of pieces."""
     import public_tokenizers
 
     return packing.pack(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
@@ -72,6 +72,15 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    with contextlib.ExitStack() as last:  # a stage's table goes once the next one is written, its working tables with it
+        for name, stage in STAGES[:-1]:
+            with contextlib.ExitStack() as now:
+                out = scratch(spark, f"stage-{name}")
+                now.enter_context(temporary(spark))
+                frame = stage(spark, docs, sf_dir)
+                frame.write.parquet(out)
+                docs = spark.read.schema(frame.schema).parquet(out)
+            last.close()
+            if name != STAGES[-2][0]:
+                last.callback(drop, spark, out)
     return STAGES[-1][1](spark, docs, sf_dir)
