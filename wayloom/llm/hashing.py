@@ -37,6 +37,19 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
 
 _INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 _POW, _INV = powers(BASE, PIECE + 1), powers(_INVERSE, PIECE + 1)
+#: A second polynomial, for 128 bits together with the first.
+_POW2, _INV2 = powers(WORD_BASE, PIECE + 1), powers(np.uint64(pow(int(WORD_BASE), -1, 1 << 64)), PIECE + 1)
+
+
+def utf8_or_bytes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary array one after the other, and the n + 1 offsets."""
+    values = values.cast(pa.large_binary())
+    if len(values) == 0:
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    data = values.buffers()[2]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
 def utf8(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:

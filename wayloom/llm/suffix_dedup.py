@@ -7,20 +7,23 @@ phrase. Texts are replaced by their parses, and equality of ``LENGTH``-byte stri
 1. *Dictionary.* A trigger is kept if its first ``KEY`` bytes occur at more than one trigger of the corpus. In text that
    is said once, none is; everything after works on the repetitive part alone. Where triggers are farther apart than
    ``REACH``, ``FINE`` times as many positions count as triggers.
-2. *Parse suffixes.* All strings of ``LENGTH`` bytes whose first trigger is one and the same, at like distances (in steps
-   of ``STEP``), lie in one hull. Equal hulls are one entry with a count; a hull that occurs twice settles its strings.
-3. *Ends of repeats.* Of hulls that occur once but share the core that all of their strings hold with another hull, every
-   string is hashed, with those of one copy of each such other hull; a string that occurs twice repeats.
-4. Strings without a trigger of either kind in their first ``REACH`` bytes are hashed outright; they are rare.
-
-The order in which a suffix array would hold the suffixes isn't built: all that is asked of it is which suffixes agree
-in ``LENGTH`` bytes, and grouping by 64-bit hashes gives that with sums before each shuffle, where a range sort would
-bring all copies of a suffix into one task. Whole equal texts are one class from the start.
+2. *Hulls.* All strings of ``LENGTH`` bytes whose first trigger is one and the same, at like distances (in steps of
+   ``STEP``), lie in one hull. Equal hulls are one entry with a count; a hull that occurs twice settles its strings.
+3. *Suffix arrays.* A string is a suffix of a dictionary phrase, up to its first trigger, and a suffix of the parse from
+   there on. Of hulls that occur once but share the core that all of their strings hold with another hull, and of one copy
+   of each such other hull, both are put in order (``suffix_order``): the phrases read backwards from the trigger, the
+   parses forwards. Neighbours in these orders, compared byte by byte, give classes of equal suffixes at every depth, and
+   the strings at one distance whose two classes agree are equal, which is corpus order cut off at ``LENGTH`` bytes.
+4. Strings without a trigger of either kind in their first ``REACH`` bytes are in periodic text alone; they are hashed.
+
+Whole equal texts are one class from the start, by SHA-256. Hulls and the strings of step 4 are told by two 64-bit
+polynomials together (128 bits), all others by their bytes; the hashes of steps 1 and 3 that pick candidates can only let
+too much through.
 
 Beside the bytes, ``n_passages`` counts the maximal runs of over 50 words (``passages.WINDOW`` at least) of a document that
 another document holds too: such a run may have fewer than ``LENGTH`` bytes, and is then reported and not removed.
 
-Strings are compared by 64-bit polynomial hashes. Defined cases: null text is empty; shorter texts keep all; repeated
+Defined cases: null text is empty; shorter texts keep all; repeated
 rows and equal texts repeat each other wholly; null ids are returned as they are; an empty table gives an empty result;
 other columns are ignored.
 """
@@ -34,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayloom.llm import hashing, passages
+from wayloom.llm import hashing, passages, suffix_order
 from wayloom.llm.common import HEAVY, heavy_join, slices, small_batches, whole_text, written
 
 LENGTH, KEY, REACH, K, EVERY, FINE, STEP = 400, 80, 320, 16, 64, 8, 32
@@ -47,20 +50,20 @@ _OVER = 2 * LENGTH + REACH
 class Text:
     """A text's bytes with the prefix sums of its polynomial hash, a piece at a time."""
 
-    def __init__(self, data: np.ndarray, piece: int = hashing.PIECE - _OVER):
+    def __init__(self, data: np.ndarray, second: bool = False, piece: int = hashing.PIECE - _OVER):
         self.data, self.piece = data, piece
+        self.powers, self.inverse = (hashing._POW2, hashing._INV2) if second else (hashing._POW, hashing._INV)
 
     def pieces(self):
         n = len(self.data)
         for a in range(0, n, self.piece):
             part = self.data[a : min(n, a + self.piece + _OVER)]
             sums = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * hashing._POW[: len(part)], dtype=np.uint64, out=sums[1:])
+            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * self.powers[: len(part)], dtype=np.uint64, out=sums[1:])
             yield a, min(n, a + self.piece), sums
 
-    @staticmethod
-    def _hash(sums, s, e):
-        return hashing.mix((sums[e] - sums[s]) * hashing._INV[s] + (e - s).astype(np.uint64))
+    def _hash(self, sums, s, e):
+        return hashing.mix((sums[e] - sums[s]) * self.inverse[s] + (e - s).astype(np.uint64))
 
     def triggers(self, key: int, every: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions of triggers that have ``key`` bytes, and the hashes of those bytes."""
@@ -68,7 +71,7 @@ class Text:
         for a, b, sums in self.pieces():
             s = np.arange(max(0, min(b, n - key + 1) - a))
             if len(s):
-                roll = hashing.mix((sums[s + K] - sums[s]) * hashing._INV[s])
+                roll = hashing.mix((sums[s + K] - sums[s]) * self.inverse[s])
                 s = s[roll % np.uint64(every) == 0]
                 at.append(s + a)
                 keys.append(self._hash(sums, s, s + key))
@@ -185,17 +188,17 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
                 for a, b in zip(offsets[:-1], offsets[1:], strict=True):
                     own = Text(data[a:b])
                     *found, left = parse(own, length, key, reach, every)
-                    out.append((*found, left, own.hashes(left, left + length)))
-                at, keys, near, far, after, left, hashes = zip(*out, strict=True)
+                    out.append((*found, left, own.hashes(left, left + length), Text(own.data, True).hashes(left, left + length)))
+                at, keys, near, far, after, left, hashes, seconds = zip(*out, strict=True)
                 word, words_at = hashing.words(data, offsets)
                 who, anchor, p_lo, p_hi = passages.anchors(word, words_at, window, min(window, passages.ANCHOR))
                 cut = np.searchsorted(who, np.arange(1, part.num_rows))
                 led = [_lists(np.split(x, cut), kind) for x, kind in ((anchor.view(np.int64), pa.int64()), (p_lo, pa.int32()), (p_hi, pa.int32()))]
-                lists = [_lists(at, pa.int32()), _lists([k.view(np.int64) for k in keys], pa.int64()), _lists(near, pa.int16()), _lists(far, pa.int16()), _lists(after, pa.int32()), _lists(left, pa.int32()), _lists([h.view(np.int64) for h in hashes], pa.int64())]
+                lists = [_lists(at, pa.int32()), _lists([k.view(np.int64) for k in keys], pa.int64()), _lists(near, pa.int16()), _lists(far, pa.int16()), _lists(after, pa.int32()), _lists(left, pa.int32()), *(_lists([h.view(np.int64) for h in hs], pa.int64()) for hs in (hashes, seconds))]
                 lists += [*led, pa.array(np.diff(words_at), pa.int64())]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], ["one", "digest", "at", "key", "near", "far", "after", "bare_at", "bare_hash", "anchor", "p_lo", "p_hi", "n_words"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], ["one", "digest", "at", "key", "near", "far", "after", "bare_at", "bare_hash", "bare_second", "anchor", "p_lo", "p_hi", "n_words"])
 
-    shape = "one bigint, digest binary, at array<int>, key array<bigint>, near array<smallint>, far array<smallint>, after array<int>, bare_at array<int>, bare_hash array<bigint>, anchor array<bigint>, p_lo array<int>, p_hi array<int>, n_words bigint"
+    shape = "one bigint, digest binary, at array<int>, key array<bigint>, near array<smallint>, far array<smallint>, after array<int>, bare_at array<int>, bare_hash array<bigint>, bare_second array<bigint>, anchor array<bigint>, p_lo array<int>, p_hi array<int>, n_words bigint"
     parsed = written(single_texts.mapInArrow(tell_parse, shape).withColumn("c", F.monotonically_increasing_id()), "parse")
     if parsed.groupBy("digest").count().where("count > 1").head(1):  # repeated rows
         parsed = written(parsed.dropDuplicates(["digest"]), "parse")
@@ -241,50 +244,57 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
                 for i in range(some.num_rows):
                     own = Text(data[offsets[i] : offsets[i + 1]])
                     at, near, far = (some.column(k)[i].values.to_numpy().astype(np.int64) for k in (2, 3, 4))
-                    hull, core = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+                    hull, second, core = (np.zeros(len(at), np.uint64) for _ in range(3))
                     o = np.argsort(at - far, kind="stable")
                     hull[o] = own.hashes((at - far)[o], (at - near + length)[o])
+                    second[o] = Text(own.data, True).hashes((at - far)[o], (at - near + length)[o])
                     o = np.argsort(at, kind="stable")
                     core[o] = own.hashes(at[o], (at + cores(near))[o])
                     core = hashing.mix(core + (near // step).astype(np.uint64))
-                    out.append((np.full(len(at), some.column(0)[i].as_py()), np.arange(len(at)), at - far, at - near, hull.view(np.int64), core.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], ["c", "j", "lo", "hi", "hull", "core"])
+                    out.append((np.full(len(at), some.column(0)[i].as_py()), np.arange(len(at)), at - far, at - near, hull.view(np.int64), second.view(np.int64), core.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], ["c", "j", "lo", "hi", "hull", "second", "core"])
 
     # 2. parse suffixes: each distinct hull with its count
     lists = part.select("c", "text", "at", "near", "far").where("size(at) > 0")
-    hulls = written(lists.mapInArrow(tell_hulls, "c bigint, j bigint, lo bigint, hi bigint, hull bigint, core bigint"), "hulls")
-    distinct = written(hulls.groupBy("hull").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("c", "j")).alias("at"), F.min("core").alias("core")), "suffixes")
-    settled = hulls.join(distinct.where("n > 1").select("hull"), "hull").select("c", "lo", "hi")
+    hulls = written(lists.mapInArrow(tell_hulls, "c bigint, j bigint, lo bigint, hi bigint, hull bigint, second bigint, core bigint"), "hulls")
+    distinct = written(hulls.groupBy("hull", "second").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("c", "j")).alias("at"), F.min("core").alias("core")), "suffixes")
+    settled = hulls.join(distinct.where("n > 1").select("hull", "second"), ["hull", "second"]).select("c", "lo", "hi")
 
     # 3. ends of repeats: hulls that occur once beside others of the same core
     mixed = distinct.groupBy("core").agg(F.count(F.lit(1)).alias("hulls"), F.min("n").alias("least")).where("hulls > 1 and least = 1").select("core")
     open_ = distinct.join(mixed, "core").select(F.col("at.c").alias("c"), F.struct(F.col("at.j").alias("j"), (F.col("n") == 1).alias("alone")).alias("h"))
     open_ = written(open_.groupBy("c").agg(F.collect_list("h").alias("hs")), "open")
 
-    def tell_strings(batches):
+    def tell_contexts(batches):
         for batch in batches:
             for some in slices(batch, "text"):
                 data, offsets = hashing.utf8(some.column(1))
                 out = []
                 for i in range(some.num_rows):
-                    own = Text(data[offsets[i] : offsets[i + 1]])
+                    own = data[offsets[i] : offsets[i + 1]].tobytes()
                     at, near, far = (some.column(k)[i].values.to_numpy().astype(np.int64) for k in (2, 3, 4))
                     hs = some.column(5)[i].values
                     j, alone = hs.field(0).to_numpy(), hs.field(1).to_numpy(zero_copy_only=False)
-                    s = _ranges(at[j] - far[j], at[j] - near[j])
-                    alone = np.repeat(alone, far[j] - near[j] + 1)
-                    o = np.argsort(s, kind="stable")
-                    out.append((np.full(len(s), some.column(0)[i].as_py()), s[o], alone[o], own.hashes(s[o], s[o] + length).view(np.int64)))
-                c, s, alone, h = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(s.astype(np.int32)), pa.array(alone.astype(bool)), pa.array(h)], ["c", "s", "alone", "string"])
-
-    ends = lists.join(open_, "c").select("c", "text", "at", "near", "far", "hs").mapInArrow(tell_strings, "c bigint, s int, alone boolean, string bigint")
+                    c = some.column(0)[i].as_py()
+                    out += [(c, h, t, n, f, x, own[t - f : t][::-1], own[t : t - n + length]) for h, t, n, f, x in zip(j.tolist(), at[j].tolist(), near[j].tolist(), far[j].tolist(), alone.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()))], ["c", "j", "at", "near", "far", "alone", "left", "right"])
+
+    contexts = lists.join(open_, "c").select("c", "text", "at", "near", "far", "hs").mapInArrow(tell_contexts, "c bigint, j bigint, at bigint, near int, far int, alone boolean, left binary, right binary")
+    contexts = written(contexts, "contexts")
+    # the suffixes of dictionary phrases, told by what lies before their trigger, and those of the parse, by what follows it
+    phrases = suffix_order.classes(contexts.select("c", "j", F.col("left").alias("body"), F.col("near").alias("lo"), F.col("far").alias("hi")), length)
+    parses = suffix_order.classes(contexts.select("c", "j", F.col("right").alias("body"), (length - F.col("far")).alias("lo"), (length - F.col("near")).alias("hi")), length)
+    both = contexts.select("c", "j", "at", "near", "alone").join(phrases.withColumnRenamed("classes", "phrase"), ["c", "j"]).join(parses.select("c", "j", F.reverse("classes").alias("parse")), ["c", "j"])
+    ends = both.select("c", "at", "near", "alone", F.posexplode(F.arrays_zip("phrase", "parse")).alias("k", "x"))
+    ends = ends.select("c", (F.col("at") - F.col("near") - F.col("k")).cast("int").alias("s"), "alone", (F.col("near") + F.col("k")).alias("d"), "x.phrase", "x.parse")
     # 4. strings without a trigger near
-    bare_ = parsed.select("c", F.explode(F.arrays_zip("bare_at", "bare_hash")).alias("x")).select("c", F.col("x.bare_at").alias("s"), F.lit(True).alias("alone"), F.col("x.bare_hash").alias("string"))
+    bare_ = parsed.select("c", F.explode(F.arrays_zip("bare_at", "bare_hash", "bare_second")).alias("x"))
+    bare_ = bare_.select("c", F.col("x.bare_at").alias("s"), F.lit(True).alias("alone"), F.lit(-1).alias("d"), F.col("x.bare_hash").alias("phrase"), F.col("x.bare_second").alias("parse"))
     strings = written(ends.unionByName(bare_), "strings")
-    again = written(strings.groupBy("string").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("string"), "strings-twice")
+    string = ["d", "phrase", "parse"]
+    again = written(strings.groupBy(*string).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*string), "strings-twice")
     # this list grows as the strings do: the same sorted join at every size
-    single = strings.where("alone").hint("merge").join(again, "string").select("c", F.col("s").cast("bigint").alias("lo"), F.col("s").cast("bigint").alias("hi"))
+    single = strings.where("alone").hint("merge").join(again, string).select("c", F.col("s").cast("bigint").alias("lo"), F.col("s").cast("bigint").alias("hi"))
 
     starts = settled.unionByName(single).groupBy("c").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("starts"))
 
