@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from wayloom.llm import chat_format, exact_dedup, fingerprint, html_extract, language_id, mixing, near_dedup, packing, suffix_dedup, token_count
 
 QUERIES = {
@@ -16,6 +15,5 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_mixing": mixing.op9_mixing,
     "op10_fingerprints": fingerprint.op10_fingerprints,
-    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {"op1_chat_format": chat_format.OP1_SQL, "op2_exact_dedup": exact_dedup.OP2_SQL}
