@@ -26,11 +26,11 @@ def test_locate_in_deep_dag(spark):
     assert {tuple(r) for r in graph.locate_in_dag(asked, nodes).collect()} == {(1, 5), (2, None), (3, None)}
 
 
-def test_dag_locate_all(spark, tmp_path):
+def test_dag_locate(spark, tmp_path):
     """Every customer, on the four planes of a mesh of forty rows."""
     made, schema = parts(4000)
     run = tables(spark, tmp_path, part=(made, schema), customer=([(k,) for k in range(1500)], "c_custkey bigint"))
-    got = {r.query_id: r.trap for r in run("dag_locate_all")}
+    got = {r.query_id: r.trap for r in run("dag_locate")}
     want = {}
     for k in range(1500):
         x, y = k * 7919 % 25000 / 100, k * 31 % 40000 / 100 + 0.005

@@ -101,7 +101,7 @@ class Mesh:
             found += [g[2] for g in self.gates[i] if g[2] not in found and _near(p, g[0], g[1]) <= TOL]
         return list(dict.fromkeys(found))
 
-    def route(self, start, start_plane, goal, goal_plane, most: int = 4_000_000):
+    def route(self, start, start_plane, goal, goal_plane):
         """``(error, None, None)`` or ``(None, length, [(x, y, plane), ...])``."""
         s = self.locate(start, start_plane)
         if s is None:
@@ -145,10 +145,9 @@ class Mesh:
                 elif to not in near:
                     right, left = (a, b) if _cross(start, a, b) >= 0 else (b, a)
                     push(start, 0.0, right, left, to, t)
-        steps, final = 0, None
-        while heap and steps < most:
+        final = None
+        while heap:
             f, _, root, cost, right, left, trap, back = heapq.heappop(heap)
-            steps += 1
             if trap is None:  # the goal itself, from root
                 final = (root, cost)
                 break

@@ -48,10 +48,15 @@ def groups(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"\{([^{}]*)\}"), 1)
 
 
-def value(group: Column, key: str) -> Column:
-    """The trimmed value of ``key = value`` in a comma-separated group; the last of several."""
-    parts = F.filter(F.split(group, ","), lambda p: F.trim(F.split_part(p, F.lit("="), F.lit(1))) == key)
-    return F.when(F.size(parts) > 0, F.trim(F.split_part(F.element_at(parts, -1), F.lit("="), F.lit(2))))
+def values(groups: Column, keys: tuple[str, ...]) -> Column:
+    """Of each comma-separated group of ``key = value``, a struct of the trimmed values of ``keys``; the last of several.
+
+    Steps are transforms of their own, since what a lambda binds is worked out once.
+    """
+    part = lambda p, k: F.trim(F.split_part(p, F.lit("="), F.lit(k)))
+    pairs = F.transform(groups, lambda g: F.transform(F.split(g, ","), lambda p: F.struct(part(p, 1).alias("k"), part(p, 2).alias("v"))))
+    last = lambda ps, key: F.get(F.reverse(F.filter(ps, lambda p: p["k"] == key)), F.lit(0))["v"]
+    return F.transform(pairs, lambda ps: F.struct(*[last(ps, k).alias(k) for k in keys]))
 
 
 def finite(text: Column, kind: str = "double") -> Column:
@@ -59,19 +64,37 @@ def finite(text: Column, kind: str = "double") -> Column:
     return F.when(F.isnan(number) | (F.abs(number) == float("inf")), None).otherwise(number)
 
 
+_KEYS = ("x", "y", "plane", "mapid")
+
+
 def parse_waypoints(text: Column, default_map: Column | None = None) -> Column:
     """``array<struct<n, mapid, x, y, plane, error>>`` of a text; errors name the group, counted from 1."""
     default_map = F.lit(None).cast("bigint") if default_map is None else default_map
 
-    def one(g, i):
-        x, y = finite(value(g, "x")), finite(value(g, "y"))
-        plane = F.coalesce(value(g, "plane").try_cast("bigint"), F.when(value(g, "plane").isNull(), F.lit(0)))
-        mapid = F.when(value(g, "mapid").isNull(), default_map).otherwise(value(g, "mapid").try_cast("bigint"))
-        missing = F.array_compact(F.array(*[F.when(c.isNull(), F.lit(n)) for n, c in (("x", x), ("y", y), ("plane", plane), ("mapid", mapid))]))
-        error = F.when(F.size(missing) > 0, F.concat(F.lit("waypoint "), (i + 1).cast("string"), F.lit(": bad "), F.array_join(missing, ", ")))
-        return F.struct((i + 1).alias("n"), mapid.alias("mapid"), x.alias("x"), y.alias("y"), plane.alias("plane"), error.alias("error"))
+    def numbers(g):
+        plane = F.when(g["plane"].isNull(), F.lit(0).cast("bigint")).otherwise(g["plane"].try_cast("bigint"))
+        mapid = F.when(g["mapid"].isNull(), default_map).otherwise(g["mapid"].try_cast("bigint"))
+        return F.struct(finite(g["x"]).alias("x"), finite(g["y"]).alias("y"), plane.alias("plane"), mapid.alias("mapid"))
+
+    def one(v, i):
+        missing = F.array_compact(F.array(*[F.when(v[n].isNull(), F.lit(n)) for n in _KEYS]))
+        error = F.when(F.exists(F.array(*[v[n].isNull() for n in _KEYS]), lambda b: b), F.concat(F.lit("waypoint "), (i + 1).cast("string"), F.lit(": bad "), F.array_join(missing, ", ")))
+        return F.struct((i + 1).alias("n"), v["mapid"].alias("mapid"), v["x"].alias("x"), v["y"].alias("y"), v["plane"].alias("plane"), error.alias("error"))
+
+    return F.transform(F.transform(values(groups(text), _KEYS), numbers), one)
+
+
+def static_path(url: Column) -> Column:
+    """The path below the served folder that a request's path names, a folder's index for a folder; null if it leaves it."""
+    path = F.regexp_extract(url, r"^[^?#]*", 0)
+    path = F.ltrim(F.when(F.endswith(path, F.lit("/")), F.concat(path, F.lit("index.html"))).otherwise(path), F.lit("/"))
+    outside = path.rlike(r"(^|/)\.\.(/|$)|^\.(/|$)")
+    return F.when(~outside, F.array_join(F.filter(F.split(path, "/"), lambda p: ~p.isin("", ".")), "/"))
+
 
-    return F.transform(groups(text), one)
+def zone_label(zone: Column, definition: Column, layers: Column) -> Column:
+    """The text that lists and tooltips show of a zone."""
+    return F.format_string("zone %d: %s (%d layers)", zone, F.coalesce(definition, F.lit("no definition")), layers)
 
 
 def request(url: Column, what: str) -> Column:

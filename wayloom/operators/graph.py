@@ -6,6 +6,7 @@ checkpoint folder. The exact path search is a kernel of one map's mesh, run for
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import DataFrame
@@ -45,11 +46,11 @@ def portal_gates(traps: DataFrame, portals: DataFrame, portal_traps: DataFrame)
     q = p.select("map_id", F.col("plane").alias("neighbor_plane"), F.col("neighbor_plane").alias("plane"), "pair", F.struct("portal", "start", "count", "flags").alias("q"))
     matched = p.join(q.groupBy("map_id", "plane", "neighbor_plane", "pair").agg(F.min("q").alias("q")), ["map_id", "plane", "neighbor_plane", "pair"])
     matched = matched.where(F.col("flags").bitwiseOR(F.col("q.flags")).bitwiseAND(4) == 0)
-    listed = lambda start, count: (F.col("pos") >= start) & (F.col("pos") < start + count)
+    listed = lambda start, count: F.explode(F.when(count > 0, F.sequence(start, start + count - 1)))
     mine = portal_traps.select("map_id", "plane", "pos", F.col("trap").alias("h_idx"))
     theirs = portal_traps.select("map_id", F.col("plane").alias("neighbor_plane"), "pos", F.col("trap").alias("o_idx"))
-    rows = matched.join(mine, ["map_id", "plane"]).where(listed(F.col("start"), F.col("count"))).drop("pos")
-    rows = rows.join(theirs, ["map_id", "neighbor_plane"]).where(listed(F.col("q.start"), F.col("q.count"))).drop("pos")
+    rows = matched.withColumn("pos", listed(F.col("start"), F.col("count"))).join(mine, ["map_id", "plane", "pos"]).drop("pos")
+    rows = rows.withColumn("pos", listed(F.col("q.start"), F.col("q.count"))).join(theirs, ["map_id", "neighbor_plane", "pos"]).drop("pos")
     rows = rows.join(_side(traps, "h_", ["portal_left", "portal_right"]), ["map_id", "plane", "h_idx"])
     other = _side(traps, "o_", ["portal_left", "portal_right"]).withColumnRenamed("plane", "neighbor_plane")
     rows = rows.join(other, ["map_id", "neighbor_plane", "o_idx"])
@@ -110,10 +111,10 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def reachable(edges: DataFrame, starts: DataFrame, most: int = 1_000_000) -> DataFrame:
+def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """``node, depth``: all that the starts reach, by rounds of a frontier."""
     found = frontier = _kept(starts.select("node").distinct().withColumn("depth", F.lit(0)))
-    for depth in range(1, most):
+    for depth in itertools.count(1):
         step = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
         frontier = _kept(step.join(found, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if not frontier.head(1):
@@ -122,10 +123,10 @@ def reachable(edges: DataFrame, starts: DataFrame, most: int = 1_000_000) -> Dat
     return found
 
 
-def distances(edges: DataFrame, starts: DataFrame, most: int = 1_000_000) -> DataFrame:
+def distances(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """``node, dist``: least sums of ``cost`` from the starts, by rounds that relax what the last one improved."""
     best = changed = _kept(starts.select("node", F.lit(0.0).alias("dist")))
-    for _ in range(most):
+    while True:
         step = changed.join(edges, changed["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.min(F.col("dist") + F.col("cost")).alias("new"))
         changed = _kept(step.join(best, "node", "left").where("dist is null or new < dist").select("node", F.col("new").alias("dist")))
         if not changed.head(1):
@@ -153,10 +154,17 @@ def locate_in_dag(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     raise ValueError("the nodes have a cycle")
 
 
-def shortest_paths(traps: DataFrame, gates: DataFrame, requests: DataFrame, prune: bool = True) -> DataFrame:
-    """``map_id, request_id, error, length, points``: exact shortest paths, one kernel call per map."""
+def shortest_paths(traps: DataFrame, gates: DataFrame, requests: DataFrame, prune: bool = True, shares: int = 8) -> DataFrame:
+    """``map_id, request_id, error, length, points``: exact shortest paths.
+
+    A map's requests are dealt into up to ``shares`` kernel calls, each of which gets the map's mesh.
+    """
     mesh = traps.select("map_id", "plane", "idx", *TRAP).withColumn("kind", F.lit("trap"))
     doors = gates.select("map_id", "plane", F.col("src").alias("idx"), "to_plane", "dst", "edge", "ax", "ay", "bx", "by").withColumn("kind", F.lit("gate"))
     both = mesh.unionByName(doors, allowMissingColumns=True)
     schema = "map_id bigint, request_id bigint, error string, length double, points array<struct<x:double,y:double,plane:bigint>>"
-    return both.groupBy("map_id").cogroup(requests.groupBy("map_id")).applyInPandas(lambda m, r: route_requests(m, r, prune), schema)
+    asked = requests.withColumn("share", F.pmod(F.xxhash64("request_id"), F.lit(shares)))
+    shares_of = asked.select(F.col("map_id").alias("of_map"), F.col("share").alias("of_share")).distinct()
+    both = both.join(shares_of, F.col("map_id") == F.col("of_map")).withColumns({"map_id": F.col("of_map") + F.lit(0), "share": F.col("of_share") + F.lit(0)}).drop("of_map", "of_share")
+    route = lambda m, r: route_requests(m.drop(columns="share"), r.drop(columns="share"), prune)
+    return both.groupBy("map_id", "share").cogroup(asked.groupBy("map_id", "share")).applyInPandas(route, schema)

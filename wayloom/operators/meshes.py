@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +49,15 @@ def path_chunks(traps: DataFrame) -> DataFrame:
     return traps.groupBy("map_id").applyInPandas(kernel, "map_id bigint, content binary")
 
 
+def extents(maps: DataFrame, traps: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``n, x0, y0, x1, y1`` of every map: its trapezoids and the bounds of their finite corners; an empty one has +-1000."""
+    real = lambda c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c))
+    xs, ys = [real(c) for c in ("x_top_left", "x_top_right", "x_bottom_left", "x_bottom_right")], [real(c) for c in ("y_top", "y_bottom")]
+    sums = traps.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(F.least(*xs)).alias("x0"), F.min(F.least(*ys)).alias("y0"), F.max(F.greatest(*xs)).alias("x1"), F.max(F.greatest(*ys)).alias("y1"))
+    out = maps.select(*keys).distinct().join(sums, list(keys), "left")
+    return out.select(*keys, F.coalesce("n", F.lit(0)).alias("n"), *[F.coalesce(c, F.lit(v)).alias(c) for c, v in (("x0", -1000.0), ("y0", -1000.0), ("x1", 1000.0), ("y1", 1000.0))])
+
+
 def invariants(traps: DataFrame) -> DataFrame:
     """Per map: trapezoids, their area, and how many break a rule (order of sides, neighbours that don't point back)."""
     area = (F.col("x_top_right") - F.col("x_top_left") + F.col("x_bottom_right") - F.col("x_bottom_left")) / 2 * (F.col("y_top") - F.col("y_bottom"))

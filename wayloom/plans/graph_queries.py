@@ -74,11 +74,11 @@ def reachable(table):
 @query(
     "gate_dijkstra",
     f"""WITH RECURSIVE {GATES}, e AS (SELECT g.src, g.dst, abs(h.x_bottom_left - o.x_bottom_left) + 10 AS cost FROM gates g JOIN mesh h ON h.idx = g.src JOIN mesh o ON o.idx = g.dst),
-r AS (SELECT 0::BIGINT AS node, 0::DOUBLE AS dist, 0 AS d UNION SELECT e.dst, r.dist + e.cost, d + 1 FROM r JOIN e ON e.src = r.node WHERE d < 24 AND e.dst > e.src) SELECT node, min(dist) AS dist FROM r GROUP BY node""",
+r(node, dist) USING KEY (node) AS (SELECT 0::BIGINT, 0::DOUBLE UNION (SELECT e.dst, min(r.dist + e.cost) FROM r JOIN e ON e.src = r.node LEFT JOIN recurring.r q ON q.node = e.dst WHERE q.dist IS NULL OR r.dist + e.cost < q.dist GROUP BY e.dst)) SELECT node, dist FROM r""",
 )
 def gate_dijkstra(table):
     traps = linked(table)
-    gates = G.neighbour_gates(traps).where("dst > src")
+    gates = G.neighbour_gates(traps)
     at = lambda n: traps.select(F.col("idx").alias(n), F.col("x_bottom_left").alias(f"x_{n}"))
     edges = gates.join(at("src"), "src").join(at("dst"), "dst").select("src", "dst", (F.abs(F.col("x_src") - F.col("x_dst")) + 10).alias("cost"))
     return G.distances(edges, table("part").where("p_partkey = 0").select(F.col("p_partkey").alias("node")))

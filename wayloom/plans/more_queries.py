@@ -92,15 +92,17 @@ def nibbles(table):
 
 @query(
     "bilinear_samples",
-    """WITH p AS (SELECT s_suppkey AS point_id, (s_suppkey % 16) / 16.0::DOUBLE AS u, (s_suppkey % 8) / 8.0::DOUBLE AS v FROM supplier), f AS (SELECT *, u * 10 - 0.5 AS fx, v * 10 - 0.5 AS fy FROM p), t AS (SELECT p_partkey % 10 AS tx, p_partkey // 10 AS ty, CAST(p_size AS DOUBLE) AS c FROM part WHERE p_partkey < 100),
-k AS (SELECT point_id, fx - floor(fx) AS ax, fy - floor(fy) AS ay, (floor(fx) + i + 10) % 10 AS tx, (floor(fy) + j + 10) % 10 AS ty, i, j FROM f, range(2) a(i), range(2) b(j))
+    """WITH n AS (SELECT max(p_partkey) // 10 + 1 AS high FROM part), p AS (SELECT s_suppkey AS point_id, (s_suppkey % 16) / 16.0::DOUBLE AS u, (s_suppkey % 64) / 64.0::DOUBLE AS v FROM supplier), f AS (SELECT *, u * 10 - 0.5 AS fx, v * high - 0.5 AS fy FROM p, n), t AS (SELECT p_partkey % 10 AS tx, p_partkey // 10 AS ty, CAST(p_size AS DOUBLE) AS c FROM part),
+k AS (SELECT point_id, fx - floor(fx) AS ax, fy - floor(fy) AS ay, CAST(floor(fx) + i + 10 AS BIGINT) % 10 AS tx, CAST(floor(fy) + j + high AS BIGINT) % high AS ty, i, j FROM f, range(2) a(i), range(2) b(j))
 SELECT point_id, round(sum(c * (CASE WHEN i = 1 THEN ax ELSE 1 - ax END) * (CASE WHEN j = 1 THEN ay ELSE 1 - ay END)), 6) AS c FROM k JOIN t ON t.tx = k.tx AND t.ty = k.ty GROUP BY point_id""",
 )
 def bilinear_samples(table):
-    k = F.col("s_suppkey")
-    pts = table("supplier").select(k.alias("point_id"), ((k % 16) / 16).alias("u"), ((k % 8) / 8).alias("v"))
-    texels = table("part").where("p_partkey < 100").select((F.col("p_partkey") % 10).alias("tx"), F.floor(F.col("p_partkey") / 10).alias("ty"), F.col("p_size").cast("double").alias("c"))
-    return R.bilinear(pts, texels, 10, 10, ["c"]).select("point_id", F.round("c", 6).alias("c"))
+    """Samples of one texture that all parts make up, ten texels wide."""
+    k, p = F.col("s_suppkey"), F.col("p_partkey")
+    pts = table("supplier").select(k.alias("point_id"), ((k % 16) / 16).alias("u"), ((k % 64) / 64).alias("v"))
+    texels = table("part").select((p % 10).alias("tx"), F.floor(p / 10).alias("ty"), F.col("p_size").cast("double").alias("c"))
+    high = table("part").agg(F.floor(F.max("p_partkey") / 10) + 1).head()[0] or 1
+    return R.bilinear(pts, texels, 10, high, ["c"]).select("point_id", F.round("c", 6).alias("c"))
 
 
 @query("chunk_major", "SELECT x, y, (y // 32 * 8 + x // 32) * 1024 + y % 32 * 32 + x % 32 AS place FROM (SELECT p_partkey % 256 AS x, p_partkey * 7 % 128 AS y FROM part)")
@@ -132,16 +134,6 @@ def plane_codec(table):
     return mesh(table).groupBy("plane").applyInPandas(kernel, "plane bigint, idx bigint, y_top double, y_bottom double, x_top_left double, x_bottom_right double")
 
 
-@query("dag_locate", f"WITH {MESH}, q AS (SELECT c_custkey AS query_id, (c_custkey * 7919 % 25000) / 100.0::DOUBLE AS x, (c_custkey * 31 % 2000) / 100.0::DOUBLE + 0.005 AS y FROM customer WHERE c_custkey < 300) SELECT q.query_id, m.idx AS trap FROM q LEFT JOIN (SELECT * FROM mesh WHERE plane = 0 AND idx < 200) m ON {inside('0').replace('(y ', '(q.y ').replace(' x ', ' q.x ')}")
-def dag_locate(table):
-    """Points walked down a location tree of the first two rows of a plane, a level of nodes at a time."""
-    from wayloom.operators.graph import locate_in_dag
-
-    k = F.col("c_custkey")
-    queries = table("customer").where("c_custkey < 300").select(k.alias("query_id"), ((k * 7919) % 25000 / 100).alias("x"), ((k * 31) % 2000 / 100 + 0.005).alias("y"), F.lit("0:root").alias("node"))
-    return locate_in_dag(queries, location_nodes(mesh(table).where("plane = 0 and idx < 200")))
-
-
 def location_nodes(traps):
     """The nodes of each plane's location tree, from ``plane:root`` on; a point on a right side is outside."""
 
@@ -168,11 +160,11 @@ def location_nodes(traps):
 
 
 @query(
-    "dag_locate_all",
+    "dag_locate",
     f"""WITH {MESH}, q AS (SELECT c_custkey AS query_id, c_custkey % 4 AS plane, (c_custkey * 7919 % 25000) / 100.0::DOUBLE AS x, (c_custkey * 31 % ((SELECT max(p_partkey) FROM part) // 100 * 1000 + 1000)) / 100.0::DOUBLE + 0.005 AS y FROM customer)
 SELECT q.query_id, m.idx AS trap FROM q LEFT JOIN (SELECT *, idx // 100 AS row FROM mesh) m ON m.plane = q.plane AND m.row = CAST(floor(q.y / 10) AS BIGINT) AND {inside('0').replace('(y ', '(q.y ').replace(' x ', ' q.x ').replace('q.x <=', 'q.x <')}""",
 )
-def dag_locate_all(table):
+def dag_locate(table):
     """Every customer's point walked down the location tree of its plane's whole mesh."""
     from wayloom.operators.graph import locate_in_dag
 

@@ -11,14 +11,15 @@ from wayloom.registry import query
 
 @query(
     "composite_max",
-    """WITH s AS (SELECT event_id AS prop, event_id % 40 AS px, user_id % 30 AS py, event_id % 256 AS rgb, CAST(floor(value) AS BIGINT) % 50 AS depth FROM events), base AS (SELECT p_partkey % 40 AS px, p_partkey // 40 AS py, 40 AS rgb FROM part WHERE p_partkey < 1200),
+    """WITH s AS (SELECT event_id AS prop, event_id % 40 AS px, event_id * 7 % (SELECT max(p_partkey) // 40 + 1 FROM part) AS py, event_id % 256 AS rgb, CAST(floor(value) AS BIGINT) % 50 AS depth FROM events), base AS (SELECT p_partkey % 40 AS px, p_partkey // 40 AS py, 40 AS rgb FROM part),
 t AS (SELECT px, py, arg_max(rgb, (depth, -prop)) AS top FROM s WHERE depth > 0 GROUP BY px, py) SELECT b.px, b.py, coalesce(t.top, b.rgb) AS rgb FROM base b LEFT JOIN t ON t.px = b.px AND t.py = b.py""",
 )
 def composite_max(table):
     k = F.col("p_partkey")
-    base = table("part").where("p_partkey < 1200").select((k % 40).alias("px"), F.floor(k / 40).alias("py"), F.lit(40).cast("bigint").alias("rgb"))
+    rows = F.broadcast(table("part").agg((F.floor(F.max("p_partkey") / 40) + 1).alias("rows")))
+    base = table("part").select((k % 40).alias("px"), F.floor(k / 40).alias("py"), F.lit(40).cast("bigint").alias("rgb"))
     e = F.col("event_id")
-    sprites = table("events").select(e.alias("prop"), (e % 40).alias("px"), (F.col("user_id") % 30).alias("py"), (e % 256).alias("rgb"), (F.floor("value") % 50).alias("depth"))
+    sprites = table("events").crossJoin(rows).select(e.alias("prop"), (e % 40).alias("px"), (e * 7 % F.col("rows")).alias("py"), (e % 256).alias("rgb"), (F.floor("value") % 50).alias("depth"))
     return R.composite(base, sprites)
 
 

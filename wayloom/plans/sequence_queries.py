@@ -65,7 +65,7 @@ def decumulate(table):
     return S.decumulated(rows, ["l_orderkey"], ["cum"], "cum")
 
 
-COVERS = "r AS (SELECT o_orderkey AS k, 0.0::DOUBLE AS lo, 200.0::DOUBLE AS hi FROM orders WHERE o_orderkey % 2 = 0), c AS (SELECT l_orderkey AS k, CAST(l_partkey % 150 AS DOUBLE) AS c0, CAST(l_partkey % 150 AS DOUBLE) + l_quantity AS c1 FROM lineitem)"
+COVERS = "r AS (SELECT o_orderkey AS k, 0.0::DOUBLE AS lo, 200.0::DOUBLE AS hi FROM orders), c AS (SELECT l_orderkey AS k, CAST(l_partkey % 150 AS DOUBLE) AS c0, CAST(l_partkey % 150 AS DOUBLE) + l_quantity AS c1 FROM lineitem)"
 
 
 @query(
@@ -74,7 +74,7 @@ COVERS = "r AS (SELECT o_orderkey AS k, 0.0::DOUBLE AS lo, 200.0::DOUBLE AS hi F
 SELECT k, a, least(c0, hi) AS b FROM m WHERE c0 > a UNION ALL SELECT k, greatest(lo, coalesce(max(c1), lo)), hi FROM m GROUP BY k, lo, hi HAVING greatest(lo, coalesce(max(c1), lo)) < hi OR max(c1) IS NULL""",
 )
 def interval_gaps(table):
-    ranges = table("orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("k"), F.lit(0.0).alias("lo"), F.lit(200.0).alias("hi"))
+    ranges = table("orders").select(F.col("o_orderkey").alias("k"), F.lit(0.0).alias("lo"), F.lit(200.0).alias("hi"))
     start = (F.col("l_partkey") % 150).cast("double")
     covers = table("lineitem").select(F.col("l_orderkey").alias("k"), start.alias("c0"), (start + F.col("l_quantity")).alias("c1"))
     return S.uncovered(ranges, covers, ["k"])

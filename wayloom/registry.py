@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-from wayloom.plans import catalog_queries, codec_queries, graph_queries, more_queries, raster_queries, sequence_queries, spatial_queries  # noqa: E402,F401
+from wayloom.plans import catalog_queries, codec_queries, graph_queries, more_queries, raster_queries, sequence_queries, spatial_queries, view_queries  # noqa: E402,F401
