@@ -277,6 +277,31 @@ def test_near_duplicates_null_and_repeated_ids(spark):
     assert near_dedup.deduplicated(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_components_linked(spark, monkeypatch, most):
+    """Groups of edges that come in three parts, by broadcast and by shuffle, equal those of all edges at once."""
+    monkeypatch.setattr(near_dedup, "MOST_BROADCAST", most)
+    rng = random.Random(17)
+    parts = [[(i, i + 1) for i in range(100, 130)] + [(0, k) for k in range(1, 40)], [(rng.randrange(200), rng.randrange(200)) for _ in range(30)], [(500, 90), (500, 130), (39, 38)]]
+    parent = {}
+
+    def find(i):
+        while parent.setdefault(i, i) != i:
+            i = parent[i]
+        return i
+
+    tables = [spark.createDataFrame(p, "a bigint, b bigint") for p in parts]
+    labels = near_dedup.components(tables[0])
+    for part, table in zip(parts, tables, strict=True):
+        for x, y in part:
+            low, high = sorted((find(x), find(y)))
+            parent[high] = low
+        labels = labels if table is tables[0] else near_dedup.linked(labels, table)
+        got = rows(labels, "node", "label")
+        assert dict(got) == {i: find(i) for i in parent if find(i) != i or (i, i) in got or any(find(k) == i and k != i for k in parent)}
+        assert len(got) == len(dict(got))
+
+
 @pytest.mark.parametrize("block", [512, 12])
 def test_open_buckets(spark, monkeypatch, block):
     """Pairs across groups in buckets under and over the bound: as good as all near pairs are found, at either size."""
