@@ -329,6 +329,34 @@ def test_open_buckets(spark, monkeypatch, block):
     assert len(want) > 500 and len(want & got) >= (0.999 if block > 100 else 0.9) * len(want)
 
 
+def test_large_buckets_are_compared_whole(spark, monkeypatch):
+    """Every two members of different groups meet in one unit of their bucket, and the one near pair among many is told."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "GUIDES", 1)
+    own = [0] * 30 + [100] * 9 + [200 + k // 3 for k in range(14)] + list(range(300, 317))
+    members = spark.createDataFrame([(k, i, g, n) for k, n, take in ((1, 70, 1), (2, 35, 2), (3, 7, 10)) for i, g in enumerate(own) if i % take == 0], "key bigint, id bigint, own bigint, n bigint")
+    units = {}
+    for r in near_dedup._units(members).collect():
+        units.setdefault((r.key, r.unit), []).append((r.side, r.id))
+    met = [(u[0], *sorted((i, j))) for u, rows_ in units.items() for s, i in rows_ for t, j in rows_ if own[i] != own[j] and ((s == t == 0 and i < j) or (s, t) == (1, 2))]
+    want = {(k, i, j) for k, take in ((1, 1), (2, 2), (3, 10)) for j in range(0, 70, take) for i in range(0, j, take) if own[i] != own[j]}
+    assert len(met) == len(set(met)) and set(met) == want
+
+    rng = random.Random(19)
+    texts = [prose(rng, 150) for _ in range(60)]
+    texts[59] = texts[31] + " more"
+    held = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    rows_ = held.selectExpr("5L as key", "id", "id as own", "60L as n")
+    told = []
+
+    def link(pairs):
+        told.extend(map(tuple, pairs.collect()))
+        return spark.createDataFrame([(31, 31), (59, 31)] if told else [], "node bigint, label bigint")
+
+    near_dedup.open_pairs(rows_, held, link)
+    assert told == [(31, 59)]
+
+
 def test_probability_minhash_estimates():
     rng = np.random.default_rng(5)
     e = hashing.mix(np.arange(1, 400, dtype=np.uint64))

@@ -11,12 +11,13 @@ a candidate pair whose exact probability Jaccard similarity is ``LEAST`` or more
 
 1. each class is compared with the smallest of the hubs (smallest member) of its buckets;
 2. where hub and member of a bucket are still in different groups, with each of the hubs;
-3. buckets that still hold more than one group are open. In one of up to ``BLOCK`` members each is compared with each
-   member of another group. A larger one is split by longer bands of all registers (``LEVELS``), which texts at 0.8 share
-   with a chance of 0.998 at the first split, and its members are compared with ``GUIDES`` of its members. So a member
-   costs a bounded number of comparisons, however large its bucket is.
+3. buckets that still hold more than one group are open. The members of those over ``BLOCK`` are compared with ``GUIDES``
+   of their members, which links most of what belongs together;
+4. in what is then open every member is compared with every member of another group. A larger bucket is dealt into tiles
+   of about ``BLOCK`` members, and each pair of tiles is a unit of work; two tiles of one group aren't compared. Of each two
+   groups the likest pair is verified first, then all near pairs of groups that are still apart.
 
-Comparisons in step 3 are of signatures first, ``SEEN`` registers of them: a pair at 0.8 falls under ``NEAR`` with a chance
+Comparisons in steps 3 and 4 are of signatures first, ``SEEN`` registers of them: a pair at 0.8 falls under ``NEAR`` with a chance
 of 1e-5. Rows are told and fetched by their locators.
 
 Defined cases: null text is empty; texts without a word are copies of each other; a text of fewer words than a run has
@@ -40,8 +41,6 @@ from wayloom.llm.common import HEAVY, heavy_join, located, rows_of_files, slices
 
 WORDS, LEAST, BANDS, ROWS = 5, 0.8, 64, 8
 REGISTERS, SEEN, NEAR, BLOCK, GUIDES = 1024, 1024, 0.745, 512, 16
-#: Bands and registers a band by which open buckets beyond ``BLOCK`` are split, one after the other.
-LEVELS = ((85, 12), (42, 24))
 #: Lists of locators and labels up to this many rows (24 bytes each) are broadcast; longer ones are shuffled.
 MOST_BROADCAST = 500_000
 #: Rows of ids, and pairs of texts, that are worth a task of their own: short tables are not dealt over every partition.
@@ -230,41 +229,93 @@ def _near(seen: np.ndarray, own: np.ndarray) -> np.ndarray:
     return ((seen == own).mean(-1) - 1 / 256) / (255 / 256)
 
 
-def block_pairs(rows: DataFrame, near: float = NEAR) -> DataFrame:
-    """Pairs ``a, b`` of different groups that share a bucket of bounded size and whose signatures are near.
+def _units(rows: DataFrame) -> DataFrame:
+    """``key, unit, side, id`` of the rows ``key, id, own, n`` of open buckets: which members are compared with which.
 
-    ``rows``: ``id, own, bytes, keys``, the keys those of a row's buckets. A pair is told in the least of the buckets that it shares.
+    Members of side 0 are compared with each other, those of side 1 with those of side 2. A bucket of up to ``BLOCK``
+    members is one unit. A larger one is dealt into tiles, those of a large group apart from the others, and two tiles
+    are a unit; so each two members of different groups meet in one unit of a bucket.
+    """
+    parts = rows.where(F.col("n") <= BLOCK).select("key", F.lit("").alias("unit"), F.lit(0).alias("side"), "id")
+    large = rows.where(F.col("n") > BLOCK).select(F.struct("key", "own").alias("group"), "id")
+    if not large.head(1):
+        return parts
+    tiles = lambda n: F.ceil(F.col(n) / BLOCK).cast("bigint")
+    groups = large.groupBy("group").agg(F.count(F.lit(1)).alias("c")).withColumn("alone", F.col("c") > BLOCK // 2)
+    groups = written(groups, "near-groups-of-buckets")
+    rest = groups.where("not alone").groupBy("group.key").agg(F.sum("c").alias("c"))
+    names = groups.where("alone").select("group.key", F.col("group.own").alias("of"), "c").unionByName(rest.select("key", F.lit(None).cast("bigint").alias("of"), "c"))
+    names = written(names.withColumn("tiles", tiles("c")), "near-tiles")
+    every = names.select("key", "of", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1)).alias("sub"))
+    every = every.select("key", F.struct(F.col("of").isNull().alias("mixed"), "of", "sub").alias("tile"))
+    two = every.join(every.select("key", F.col("tile").alias("other")), "key").where("tile <= other and (tile.mixed or other.mixed or tile.of <> other.of)")
+    name = F.concat_ws("/", *[F.coalesce(c.cast("string"), F.lit("-")) for c in (F.col("tile.of"), F.col("tile.sub"), F.col("other.of"), F.col("other.sub"))])
+    two = two.withColumn("unit", name)
+    sides = two.select("key", "tile", "unit", F.when(F.col("tile") == F.col("other"), 0).otherwise(1).alias("side"))
+    sides = sides.unionByName(two.where("tile <> other").select("key", F.col("other").alias("tile"), "unit", F.lit(2).alias("side")))
+    sides = written(sides.groupBy(F.struct("key", "tile").alias("at")).agg(F.collect_list(F.struct("unit", "side")).alias("units")), "near-units")
+    mixed = written(names.where("of is null").select("key", F.col("tiles").alias("m")), "near-mixed")
+    placed = _looked_up(large, groups, "group").select(F.col("group.key").alias("key"), F.col("group.own").alias("own"), "id", "alone", tiles("c").alias("c"))
+    placed = _looked_up(placed, mixed, "key", "left")
+    sub = F.when(F.col("alone"), F.pmod(F.xxhash64("id"), F.col("c"))).otherwise(F.pmod(F.xxhash64("own"), F.col("m")))
+    tile = F.struct((~F.col("alone")).alias("mixed"), F.when(F.col("alone"), F.col("own")).alias("of"), sub.alias("sub"))
+    placed = written(placed.select("id", F.struct("key", tile.alias("tile")).alias("at")), "near-placed")
+    dealt = _looked_up(placed, sides, "at").select("at.key", "id", F.explode("units").alias("u"))
+    return parts.unionByName(dealt.select("key", "u.unit", "u.side", "id"))
+
+
+def block_pairs(rows: DataFrame, near: float = NEAR, likest: bool = False) -> DataFrame:
+    """Pairs ``a, b`` of different groups that share a bucket and whose signatures are near.
+
+    ``rows``: ``id, own, bytes, units``, a unit being ``key, unit, side``. A pair is told in the least of the buckets that
+    it shares. ``likest``: of each two groups only the pair whose signatures agree most.
     """
 
     def compare(group):
-        ids, own = (np.array([r[k] for r in group]) for k in (1, 2))
-        seen = np.frombuffer(b"".join(r[3] for r in group), np.uint8).reshape(len(group), -1)
-        keys, here = [set(r[4]) for r in group], group[0][0]
-        out = []
-        for i in range(len(group) - 1):
-            rest = i + 1 + np.flatnonzero(own[i + 1 :] != own[i])
+        ids, own = (np.array([r[k] for r in group]) for k in (3, 4))
+        seen = np.frombuffer(b"".join(r[5] for r in group), np.uint8).reshape(len(group), -1)
+        keys, here = [set(r[6]) for r in group], group[0][0]
+        side = np.array([r[2] for r in group])
+        ones, twos = (np.arange(len(group)),) * 2 if side[0] == 0 else (np.flatnonzero(side == s) for s in (1, 2))
+        out, best = [], {}
+        for i in ones:
+            rest = twos[twos > i] if side[0] == 0 else twos
+            rest = rest[own[rest] != own[i]]
             if len(rest):
-                rest = rest[_near(seen[rest], seen[i]) >= near]
-                out += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in rest if min(keys[i] & keys[j]) == here]
-        return out
+                alike = _near(seen[rest], seen[i])
+                on = np.flatnonzero(alike >= near)
+                if likest:
+                    for j, much in zip(rest[on].tolist(), alike[on].tolist(), strict=True):
+                        of = (min(own[i], own[j]), max(own[i], own[j]))
+                        if much > best.get(of, (0.0,))[0]:
+                            best[of] = (much, i, j)
+                else:
+                    out += [(i, j) for j in rest[on] if min(keys[i] & keys[j]) == here]
+        if likest:
+            return [(min(ids[i], ids[j]), max(ids[i], ids[j]), *of, much) for of, (much, i, j) in best.items()]
+        return [(min(ids[i], ids[j]), max(ids[i], ids[j]), min(own[i], own[j]), max(own[i], own[j]), 0.0) for i, j in out]
 
     def run(batches):
         starts("near")
-        group, at, found = [], None, []
+        names, kinds = ["a", "b", "one", "two", "alike"], [pa.int64()] * 4 + [pa.float64()]
+        told = lambda found: pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)], names)
+        group, at = [], None
         for batch in batches:
+            found = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[0] != at:
+                if row[:2] != at:
                     found += compare(group) if len(group) > 1 else []
-                    group, at = [], row[0]
+                    group, at = [], row[:2]
                 group.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
-            found = []
-        found = compare(group) if len(group) > 1 else []
-        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+            yield told(found)
+        yield told(compare(group) if len(group) > 1 else [])
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.withColumn("key", F.explode("keys"))
-    return rows.select("key", "id", "own", "bytes", "keys").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint")
+    rows = rows.select("id", "own", "bytes", F.array_distinct("units.key").alias("keys"), F.explode("units").alias("u")).select("u.*", "id", "own", "bytes", "keys")
+    found = rows.repartition(parts, "key", "unit").sortWithinPartitions("key", "unit").mapInArrow(run, "a bigint, b bigint, one bigint, two bigint, alike double")
+    if likest:
+        return found.groupBy("one", "two").agg(F.max(F.struct("alike", "a", "b")).alias("p")).select("p.a", "p.b")
+    return found.select("a", "b")
 
 
 def guide_pairs(rows: DataFrame, near: float = NEAR) -> DataFrame:
@@ -290,32 +341,34 @@ def guide_pairs(rows: DataFrame, near: float = NEAR) -> DataFrame:
 def open_pairs(rows: DataFrame, held: DataFrame, link: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Candidate pairs across the groups of open buckets: ``rows`` are ``key, id, own, n``, ``n`` the bucket's size.
 
-    ``link`` takes the pairs of a level and returns the groups that they leave; buckets that these close go no further.
+    ``link`` takes the pairs of a step and returns the groups that they leave; buckets that all but the guides' close go
+    no further (large ones that the guides close have no units).
+    The last step leaves out nothing: it tells every near pair of groups that are still apart. Without ``link`` it is all.
     """
-    out = held.sparkSession.createDataFrame([], "a bigint, b bigint")
-    for level, (bands, width) in enumerate(((BANDS, ROWS), *LEVELS)):
-        # signatures of the few texts in such buckets are made again, which is less than to keep all
-        ids = written(rows.select("id", "own").distinct().coalesce(1 + rows.count() // TASK_ROWS), "near-open-ids")
-        seen = written(signature_bytes(held.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "id", "left_semi"), bands, width), "near-open-bytes")
-        if level:
-            dealt = seen.select("id", F.explode("keys").alias("key")).join(ids, "id")
-            sizes = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("own").alias("one"), F.max("own").alias("two")).where("one <> two")
-            sizes = written(sizes.select("key", "n").coalesce(1 + bands * ids.count() // TASK_ROWS), "near-split")
-            rows = written(heavy_join(dealt, sizes, "key", sizes.where(F.col("n") > HEAVY * bands * ids.count()).select("key")), "near-open")
-        seen = seen.select("id", "bytes")
-        pairs = block_pairs(rows.where(F.col("n") <= BLOCK).groupBy("id").agg(F.first("own").alias("own"), F.collect_list("key").alias("keys")).join(seen, "id"))
-        rows = rows.where(F.col("n") > BLOCK)
-        last = not rows.head(1)
-        if not last:
-            pairs = pairs.unionByName(guide_pairs(written(rows.join(seen, "id").select("key", "id", "own", "bytes"), "near-large")))
-        pairs = written(pairs.distinct(), "near-found")
-        out = out.unionByName(pairs)
+    # signatures of the few texts in such buckets are made again, which is less than to keep all
+    ids = written(rows.select("id").distinct().coalesce(1 + rows.count() // TASK_ROWS), "near-open-ids")
+    seen = written(signature_bytes(held.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "id", "left_semi")).select("id", "bytes"), "near-open-bytes")
+    out = None
+    for step in ("guides", "likest", "all") if link else ("all",):
+        if step == "guides":
+            large = rows.where(F.col("n") > BLOCK)
+            if not large.head(1):
+                continue
+            pairs = guide_pairs(written(large.join(seen, "id").select("key", "id", "own", "bytes"), "near-large"))
+        else:
+            units = _units(rows).groupBy("id").agg(F.collect_list(F.struct("key", "unit", "side")).alias("units"))
+            own = rows.groupBy("id").agg(F.first("own").alias("own"))
+            pairs = block_pairs(units.join(own, "id").join(seen, "id"), likest=step == "likest")
+        pairs = pairs.distinct()
+        pairs = written(pairs if out is None else pairs.join(out, ["a", "b"], "left_anti"), "near-found")
+        out = pairs if out is None else out.unionByName(pairs)
         if link:
             labels = link(pairs)
-            rows = _open(_labelled(rows.drop("own"), labels, "id", "own"))
-        if last or not rows.head(1):
-            break
-    return out.distinct()
+            rows = written(_labelled(rows.drop("own"), labels, "id", "own").select("key", "id", "own", "n"), "near-open") if step == "guides" else rows
+            rows = _open(_labelled(rows.drop("own"), labels, "id", "own")) if step == "likest" else rows
+            if not rows.head(1):
+                break
+    return out
 
 
 def _open(rows: DataFrame) -> DataFrame:
