@@ -1,14 +1,15 @@
 """Mesh graphs: gates between trapezoids, corners, reachability, distances, exact shortest paths.
 
-Gates, angles and fixpoints are joins and sums; the frontier loops cut their lineage by written tables in the shared
-checkpoint folder. The exact path search is a kernel of one map's mesh, run for all its requests by a cogroup.
+Gates and angles are joins and sums; walks go through blocks of edges, a kernel call each, and cut their lineage by
+checkpoints in the shared folder. The exact path search is a kernel of one map's mesh, run for all its requests by a cogroup.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -111,28 +112,85 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Edges that one task holds and walks at a time (24 bytes each).
+BLOCK_EDGES = 1 << 21
+
+
+def _relaxed(edges: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    """``node, dist, own``: what a block's edges improve, from its fresh nodes until nothing changes.
+
+    Nodes of other blocks (not ``own``) are messages to them.
+    """
+    names, code = np.unique(np.concatenate([edges["src"].to_numpy(), edges["dst"].to_numpy()]), return_inverse=True)
+    src, dst = code[: len(edges)], code[len(edges) :]
+    order = np.argsort(src, kind="stable")
+    src, dst, cost = src[order], dst[order], edges["cost"].to_numpy()[order]
+    first = np.searchsorted(src, np.arange(len(names) + 1))
+    own = first[1:] > first[:-1]
+    own[code[len(edges) :][edges["inside"].to_numpy(bool)]] = True
+    dist = np.full(len(names), np.inf)
+    known = known[known["node"].isin(names)]
+    at = np.searchsorted(names, known["node"].to_numpy())
+    dist[at] = known["dist"].to_numpy()
+    before = dist.copy()
+    fresh = at[known["fresh"].to_numpy(bool)]
+    while len(fresh):
+        n = first[fresh + 1] - first[fresh]
+        which = np.repeat(first[fresh] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        to, new = dst[which], np.repeat(dist[fresh], n) + cost[which]
+        less = new < dist[to]
+        to = to[less]
+        np.minimum.at(dist, to, new[less])
+        fresh = np.unique(to)
+    on = np.flatnonzero(dist < before)
+    return pd.DataFrame({"node": names[on], "dist": dist[on], "own": own[on]})
+
+
+def _walked(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """``node, dist``: least sums of ``cost`` from the starts.
+
+    Edges are dealt into blocks by ranges of ``src``. A round walks every block that has fresh nodes to its end and tells
+    other blocks what it improved of theirs, so a way takes as many rounds as it changes blocks, not as it has edges.
+    """
+    real = _kept(edges.where("src is not null and cost is not null").select("src", "dst", F.col("cost").cast("double").alias("cost")))
+    kind = real.schema["src"].dataType.simpleString()
+    n = 1 + real.count() // BLOCK_EDGES
+    lows = []
+    if n > 1:
+        part = real.select("src").repartitionByRange(n, "src").groupBy(F.spark_partition_id()).agg(F.min("src").alias("low"))
+        lows = sorted(r.low for r in part.collect())[1:]
+    bounds = F.array(*[F.lit(x).cast(kind) for x in lows])
+    block = lambda c: F.size(F.filter(bounds, lambda x: x <= F.col(c))) if lows else F.lit(0)
+    inner = _kept(real.where("dst is not null").withColumn("block", block("src")).withColumn("inside", F.col("block") == block("dst")))
+    best = starts.select(F.col("node").cast(kind).alias("node")).distinct().select("node", F.lit(0.0).alias("dist"), F.lit(True).alias("fresh"))
+    best = _kept(best.withColumn("block", block("node")))
+
+    def walk(e: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if e.empty or known.empty:
+            return pd.DataFrame({"node": e["src"][:0], "dist": np.zeros(0), "own": np.zeros(0, bool)})
+        return _relaxed(e, known)
+
+    while active := [r.block for r in best.where("fresh and node is not null").select("block").distinct().collect()]:
+        at = F.col("block").isin(active)
+        told = inner.where(at).groupBy("block").cogroup(best.where(at & F.col("node").isNotNull()).groupBy("block")).applyInPandas(walk, f"node {kind}, dist double, own boolean")
+        every = best.select("node", "dist", F.lit(True).alias("own")).unionByName(told)
+        every = every.groupBy("node").agg(F.min("dist").alias("dist"), F.min(F.when(F.col("own"), F.col("dist"))).alias("old"))
+        best = _kept(every.select("node", "dist", (F.col("old").isNull() | (F.col("dist") < F.col("old"))).alias("fresh")).withColumn("block", block("node")))
+    out = best.select("node", "dist")
+    # a null is no node that edges leave, but may be met
+    none = out.where("node is not null").join(real.where("dst is null"), F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("dist") + F.col("cost")).alias("dist"))
+    none = none.unionByName(out.where("node is null")).groupBy("node").agg(F.min("dist").alias("dist"))
+    return out.where("node is not null").unionByName(none)
+
+
 def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """``node, depth``: all that the starts reach, by rounds of a frontier."""
-    found = frontier = _kept(starts.select("node").distinct().withColumn("depth", F.lit(0)))
-    for depth in itertools.count(1):
-        step = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        frontier = _kept(step.join(found, "node", "left_anti").withColumn("depth", F.lit(depth)))
-        if not frontier.head(1):
-            break
-        found = found.unionByName(frontier)
-    return found
+    """``node, depth``: all that the starts reach, and by how many edges."""
+    return _walked(edges.select("src", "dst", F.lit(1.0).alias("cost")), starts).select("node", F.col("dist").cast("int").alias("depth"))
 
 
 def distances(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """``node, dist``: least sums of ``cost`` from the starts, by rounds that relax what the last one improved."""
-    best = changed = _kept(starts.select("node", F.lit(0.0).alias("dist")))
-    while True:
-        step = changed.join(edges, changed["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.min(F.col("dist") + F.col("cost")).alias("new"))
-        changed = _kept(step.join(best, "node", "left").where("dist is null or new < dist").select("node", F.col("new").alias("dist")))
-        if not changed.head(1):
-            break
-        best = _kept(best.unionByName(changed).groupBy("node").agg(F.min("dist").alias("dist")))
-    return best
+    """``node, dist``: least sums of ``cost`` from the starts."""
+    return _walked(edges, starts)
 
 
 def locate_in_dag(queries: DataFrame, nodes: DataFrame) -> DataFrame:
