@@ -199,16 +199,19 @@ def locate_in_dag(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     ``nodes``: ``node, kind`` (x, y or sink), line ``ax, ay, bx, by`` or height ``y``, the next nodes ``low`` (left,
     below) and ``high``, and a sink's ``trap``. ``queries``: ``query_id, x, y, node`` (the root).
     """
-    nodes = _kept(nodes.withColumnRenamed("y", "ny"))
+    # dealt by node once: the joins of all levels find it so; none is by broadcast, as files tell little of the rows in them
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nodes = _kept(nodes.withColumnRenamed("y", "ny").repartition(parts, "node"))
     at, done = queries.select("query_id", "x", "y", "node"), None
     right = F.when(F.col("kind") == "y", F.col("y") >= F.col("ny")).otherwise((F.col("bx") - F.col("ax")) * (F.col("y") - F.col("ay")) - (F.col("by") - F.col("ay")) * (F.col("x") - F.col("ax")) <= 0)
-    for _ in range(nodes.count() + 1):
-        met = _kept(at.join(nodes, "node").select("query_id", "x", "y", "kind", "trap", F.when(right, F.col("high")).otherwise(F.col("low")).alias("node")))
+    for level in range(nodes.count() + 1):
+        met = _kept(at.hint("merge").join(nodes, "node").select("query_id", "x", "y", "kind", "trap", F.when(right, F.col("high")).otherwise(F.col("low")).alias("node")))
         sink = met.where("kind = 'sink'").select("query_id", "trap")
         done = sink if done is None else done.unionByName(sink)
+        done = _kept(done) if level % 16 == 15 else done
         at = met.where("kind <> 'sink' and node is not null").select("query_id", "x", "y", "node")
         if not at.head(1):
-            return queries.select("query_id").join(done, "query_id", "left")
+            return queries.select("query_id").hint("merge").join(done, "query_id", "left")
     raise ValueError("the nodes have a cycle")
 
 
