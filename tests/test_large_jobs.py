@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+import __spark_entry__
 from wayloom.operators import graph, raster, spatial
 
 
@@ -58,6 +59,29 @@ def test_dag_walk_broadcasts_no_table(spark, monkeypatch):
     assert len(plans) > 20 and not any("Broadcast" in p for p in [*plans, out._jdf.queryExecution().sparkPlan().toString()])
 
 
+def plans_of(spark, folder, monkeypatch, name):
+    """The rows of a query over 400 parts, and the plans of the tables that it keeps and of its result."""
+    plans, kept = [], graph._kept
+    monkeypatch.setattr(graph, "_kept", lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or kept(df))
+    spark.createDataFrame([(k, k * 7 % 50 + 1) for k in range(400)], "p_partkey bigint, p_size int").write.parquet(f"{folder}/part.parquet")
+    out = __spark_entry__.queries()[name](spark, str(folder))
+    return {tuple(r) for r in out.collect()}, [*plans, out._jdf.queryExecution().sparkPlan().toString()]
+
+
+def flooded():
+    """The grid's edges, and the cells that walking from the seeds reaches."""
+    cells = {k: k * 7 % 50 + 1 < 38 for k in range(400)}
+    edges = [(k, n) for k in cells for n in (k - 50, k + 50, k - 1, k + 1) if n in cells and abs(k % 50 - n % 50) <= 1]
+    return edges, set(least([(a, b, 1) for a, b in edges if cells[b]], [k for k in cells if k % 37 == 0]))
+
+
+def test_flood_fill_broadcasts_no_table(spark, tmp_path, monkeypatch):
+    """Cells and edges are as many as parts, whatever the size of the files: none goes to the driver."""
+    got, plans = plans_of(spark, tmp_path, monkeypatch, "flood_fill")
+    assert got == {(k,) for k in flooded()[1]}
+    assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
+
+
 def sizes(monkeypatch):
     """The sizes of cells that are used from now on."""
     used, cells = [], spatial.grid_cells

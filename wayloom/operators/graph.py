@@ -178,7 +178,7 @@ def _walked(edges: DataFrame, starts: DataFrame) -> DataFrame:
         best = _kept(every.select("node", "dist", (F.col("old").isNull() | (F.col("dist") < F.col("old"))).alias("fresh")).withColumn("block", block("node")))
     out = best.select("node", "dist")
     # a null is no node that edges leave, but may be met
-    none = out.where("node is not null").join(real.where("dst is null"), F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("dist") + F.col("cost")).alias("dist"))
+    none = out.where("node is not null").hint("merge").join(real.where("dst is null"), F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("dist") + F.col("cost")).alias("dist"))
     none = none.unionByName(out.where("node is null")).groupBy("node").agg(F.min("dist").alias("dist"))
     return out.where("node is not null").unionByName(none)
 

@@ -95,11 +95,11 @@ SIDES = f"{GRID}, c AS (SELECT y * 50 + x AS tri, x, y, z, CASE WHEN z < 38 THEN
 
 
 def _sides(table):
-    """Each cell of the grid with its neighbours to the four sides."""
+    """Each cell of the grid with its neighbours to the four sides; cells are as many as parts, too many to broadcast."""
     cells = grid(table).select((F.col("y") * 50 + F.col("x")).alias("tri"), "x", "y", F.when(F.col("z") < 38, "walkable").otherwise("blocked").alias("class"))
     step = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 1), (1, 0), (0, -1), (-1, 0))]))
     there = cells.select("tri", "x", "y", step.alias("d")).select("tri", (F.col("x") + F.col("d.i")).alias("x"), (F.col("y") + F.col("d.j")).alias("y"))
-    return there.join(cells.select(F.col("tri").alias("nb"), "x", "y", F.col("class").alias("nb_class")), ["x", "y"]).select("tri", "nb", "nb_class", F.lit(0.0).alias("angle"), F.lit(0.0).alias("nb_angle"))
+    return there.hint("merge").join(cells.select(F.col("tri").alias("nb"), "x", "y", F.col("class").alias("nb_class")), ["x", "y"]).select("tri", "nb", "nb_class", F.lit(0.0).alias("angle"), F.lit(0.0).alias("nb_angle"))
 
 
 REACHED = f"WITH RECURSIVE {SIDES}, r AS (SELECT tri AS node FROM c WHERE tri % 37 = 0 UNION SELECT e.nb FROM r JOIN e ON e.tri = r.node WHERE nb_class = 'walkable')"
