@@ -82,6 +82,14 @@ def test_flood_fill_broadcasts_no_table(spark, tmp_path, monkeypatch):
     assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
 
 
+def test_flood_edges_broadcasts_no_table(spark, tmp_path, monkeypatch):
+    """Nor do the visited cells, which the edges are held against."""
+    got, plans = plans_of(spark, tmp_path, monkeypatch, "flood_edges")
+    edges, inside = flooded()
+    assert got == {(a, b) for a, b in edges if a in inside and b not in inside}
+    assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
+
+
 def sizes(monkeypatch):
     """The sizes of cells that are used from now on."""
     used, cells = [], spatial.grid_cells

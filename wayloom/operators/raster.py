@@ -111,9 +111,12 @@ def flood(cells: DataFrame, seeds: DataFrame, delta: float) -> DataFrame:
 
 
 def boundary(cells: DataFrame, visited: DataFrame) -> DataFrame:
-    """Edges between a visited triangle and one that isn't."""
-    inside = cells.join(visited.select(F.col("node").alias("tri")), "tri", "left_semi")
-    return inside.join(visited.select(F.col("node").alias("nb")), "nb", "left_anti").select("tri", "nb")
+    """Edges between a visited triangle and one that isn't.
+
+    The visited may be as many as the triangles, which files tell little of: no join is by broadcast.
+    """
+    inside = cells.hint("merge").join(visited.select(F.col("node").alias("tri")), "tri", "left_semi")
+    return inside.hint("merge").join(visited.select(F.col("node").alias("nb")), "nb", "left_anti").select("tri", "nb")
 
 
 def mark_block(seeds: DataFrame, reach: int = 2) -> DataFrame:
